@@ -9,6 +9,8 @@ FLAGSHIP = "p1_found"
 QUERIES = {
     "p1_elements": problems.p1_elements,
     "p1_found": problems.p1_found,
+    "p3_compacted": problems.p3_compacted,
+    "p3_found": problems.p3_found,
 }
 
 SQL: dict[str, str] = {}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.compact import compact
 from ..operators.delivery import latest_delivery
 from ..operators.nested import flatten_layouts, flatten_raw
 from ..session import read
@@ -18,3 +19,12 @@ def p1_elements(spark: SparkSession, sf_dir: str, payload: bool = True) -> DataF
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_elements(spark, sf_dir, payload=False)
+
+
+def p3_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The consolidated page parts: every record once, in few files, with the bin it went to."""
+    return compact(read(spark, sf_dir, "page_files"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_compacted(spark, sf_dir).select("file_id")
