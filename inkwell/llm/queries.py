@@ -6,7 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read
-from . import encoding
+from . import encoding, unify
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, row_id, pos, text) of all cells and detections; ``pos`` counts null elements too."""
+    cells = read(spark, sf_dir, "cells").select(F.lit("cells").alias("src"), F.col("cell_id").alias("row_id"), F.lit(0).alias("pos"), "text")
+    pages = read(spark, sf_dir, "layout_json")
+    lines = pages.select("layout_id", F.posexplode("detections.content").alias("pos", "text")).select(F.lit("layout_json").alias("src"), F.col("layout_id").alias("row_id"), "pos", "text")
+    return cells.unionByName(lines)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unify.matching_terms(labels(spark, sf_dir), read(spark, sf_dir, "term_list"))
+
+
+def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The consistent form of every cell and detection."""
+    return unify.unify(labels(spark, sf_dir), "text")
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +36,8 @@ def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_forms": p2_forms,
     "p6_ids": p6_ids,
     "p6_decoded": p6_decoded,
 }
