@@ -91,10 +91,10 @@ def mapping() -> tuple[list[tuple[str, int, str, int]], list[tuple[str, str]]]:
         to = _mapped(ch)
         if to != ch or unicodedata.combining(ch):
             rows += [(ch, k, x, unicodedata.combining(x)) for k, x in enumerate(to)] or [(ch, 0, "", 0)]
-        if not to or len(to) < 2 or unicodedata.decomposition(ch).startswith("<"):
+        if len(to) < 2 or unicodedata.normalize("NFD", ch) != to or unicodedata.normalize("NFC", ch) != ch:
             continue
-        if not unicodedata.combining(to[0]) and all(unicodedata.combining(x) for x in to[1:]) and unicodedata.normalize("NFC", ch) == ch:
-            composed.setdefault(to, ch)
+        if not unicodedata.combining(to[0]) and all(unicodedata.combining(x) for x in to[1:]):
+            composed[to] = ch
     return rows, sorted(composed.items())
 
 
@@ -114,7 +114,7 @@ def _safe_class() -> str:
     for lo, hi in ((0x20, 0x7E), (0xC0, 0x17F), (0x3001, 0x30FF), (0x4E00, 0x9FFF)):
         for n in range(lo, hi + 1):
             # a precomposed character decomposes and composes to itself again
-            if chr(n) not in changed or chr(n) in composed and unicodedata.normalize("NFD", chr(n))[0] not in lookalikes():
+            if chr(n) not in changed or chr(n) in composed:
                 if ranges and ranges[-1][1] == n - 1:
                     ranges[-1][1] = n
                 else:
