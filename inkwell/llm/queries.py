@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read
-from . import encoding, unify
+from . import encoding, leakage, unify
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,11 +35,16 @@ def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.decode(p6_ids(spark, sf_dir)).select("doc_id", F.md5("text").alias("text_md5"), F.length("text").cast("bigint").alias("n_chars"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_forms": p2_forms,
     "p6_ids": p6_ids,
     "p6_decoded": p6_decoded,
+    "p7_found": p7_found,
 }
 
 SQL = {
