@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read
-from . import encoding, leakage, unify
+from . import encoding, leakage, texttypes, unify
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,22 @@ def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unify.unify(labels(spark, sf_dir), "text")
 
 
+def typed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = texttypes.page_texts(read(spark, sf_dir, "layout_json")).select(F.lit("layout_json").alias("src"), F.col("layout_id").alias("row_id"), "order", "text")
+    regions = read(spark, sf_dir, "regions").select(F.lit("regions").alias("src"), F.col("region_id").alias("row_id"), F.col("seen_at").alias("order"), "text")
+    return pages.unionByName(regions)
+
+
+def p5_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics, type and posterior of every page and region."""
+    common = read(spark, sf_dir, "lexicon").where("is_common")
+    return texttypes.classify(typed_texts(spark, sf_dir), common, {"layout_json": ("formula",)})
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_types(spark, sf_dir).where("kind <> 'prose'").select("src", "row_id", "kind")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode(read(spark, sf_dir, "documents"))
 
@@ -42,6 +58,8 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_forms": p2_forms,
+    "p5_found": p5_found,
+    "p5_types": p5_types,
     "p6_ids": p6_ids,
     "p6_decoded": p6_decoded,
     "p7_found": p7_found,
