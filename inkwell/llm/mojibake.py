@@ -66,7 +66,7 @@ def kanji() -> frozenset[str]:
 def sound() -> frozenset[str]:
     """Characters of sound text."""
     kana = {chr(n) for n in (*range(0x3041, 0x3097), *range(0x3099, 0x30FF))}
-    wide = {chr(n) for n in range(0xFF01, 0xFF5F)}
+    wide = {chr(n) for n in (*range(0xFF01, 0xFF5F), *range(0xFF61, 0xFFA0))}
     ascii_ = {chr(n) for n in (9, 10, 12, 13, *range(32, 127))}
     return frozenset(ascii_ | kana | wide | kanji() | set(LETTERS + QUOTES + SIGNS + JAPANESE_SIGNS + "\xa0­​‌‍‎⁠﻿"))
 
@@ -108,7 +108,7 @@ def _runs(codec: str) -> tuple[re.Pattern, re.Pattern, dict[int, int]]:
 @lru_cache(maxsize=1)
 def _foreign() -> re.Pattern:
     """What makes a text worth a closer look: a character that sound text hasn't, or a kanji inside a Latin word."""
-    return re.compile(f"[^{_class(sound())}]|(?<=[a-z])[一-鿿](?=[a-z])")
+    return re.compile(f"[^{_class(sound())}]|(?<=[a-z])[一-鿿](?=[a-z])|(?<=[a-zß-ÿ])[À-ÖØ-Þ](?=[a-zß-ÿ])|(?<=[a-z])÷(?=[a-z])")
 
 
 _SAMPLES = re.compile(rf"「[^「」\n]{{1,{SAMPLE}}}」|\"[^\"\n]{{1,{SAMPLE}}}\"|“[^“”\n]{{1,{SAMPLE}}}”|'[^'\n]{{1,{SAMPLE}}}'")
@@ -127,6 +127,8 @@ def _plausible_japanese(x: str) -> bool:
     ja = sum(_is_japanese(c) for c in x)
     kana = sum("ぁ" <= c <= "ヺ" for c in x)
     odd = sum(c not in sound() for c in x)
+    if re.search("[a-zà-ÿ][一-鿿]|[一-鿿][a-zà-ÿ]", x) and kana == 0:
+        return False
     return ja >= 2 and (kana >= 1 or ja >= 3 and odd == 0) and odd <= 0.1 * ja
 
 
@@ -219,6 +221,7 @@ def _restore_line(line: str) -> tuple[str, bool]:
             if changed:
                 return out, True
     # code pages of several bytes shown for UTF-8 or EUC
+    all_signs = SIGNS + QUOTES + JAPANESE_SIGNS
     for codec in DOUBLE:
         for meant in ("utf-8", "euc_jp") if codec == "cp932" else ("utf-8",):
             changed = False
@@ -232,7 +235,7 @@ def _restore_line(line: str) -> tuple[str, bool]:
                     return s
                 before, after = line[m.start() - 1 : m.start()] if m.start() else "", line[m.end() : m.end() + 1]
                 latin = all(c in LETTERS or ord(c) < 128 for c in y) and bool(re.match("[a-zA-Z]", before) or re.match("[a-zA-Z]", after) or re.search("[a-zA-Z]", y))
-                signs = codec != "cp932" and meant == "utf-8" and all(c in SIGNS + QUOTES or ord(c) < 128 for c in y) and any(c in SIGNS + QUOTES for c in y) and (before in ("", " ") and after in ("", " ") or len(y) > 1)
+                signs = meant == "utf-8" and all(c in all_signs or ord(c) < 128 for c in y) and any(c in all_signs for c in y) and (before in ("", " ") and after in ("", " ") or len(y) > 1)
                 if latin or signs or (_plausible_japanese(y) if meant == "euc_jp" else _plausible_utf8(y) and any(_is_japanese(c) for c in y) and len(s) >= 2):
                     changed = True
                     return y

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read
-from . import encoding, leakage, texttypes, unify
+from . import encoding, leakage, mojibake, texttypes, unify
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +55,15 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items"))
 
 
+def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every affected document with its restored text."""
+    return mojibake.affected(read(spark, sf_dir, "documents"), read(spark, sf_dir, "lexicon"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_restored(spark, sf_dir).select("doc_id")
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_forms": p2_forms,
@@ -63,6 +72,8 @@ QUERIES = {
     "p6_ids": p6_ids,
     "p6_decoded": p6_decoded,
     "p7_found": p7_found,
+    "p8_found": p8_found,
+    "p8_restored": p8_restored,
 }
 
 SQL = {
