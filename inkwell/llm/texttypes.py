@@ -35,13 +35,20 @@ MATH = r"[=≒≠≈÷√∑±^\\]"
 NUMBER = r"^\s*[-+]?[0-9０-９][0-9０-９.,/%％:\-]*\s*$"
 
 
-def statistics(text: Column, common: Sequence[str]) -> dict[str, Column]:
-    """Named statistics of one text."""
-    n = F.length(F.regexp_replace(text, r"\s+", ""))
-    lines = F.filter(F.split(text, r"\r\n?|\n"), lambda x: F.trim(x) != "")
-    n_lines = F.size(lines)
+def parts(text: Column) -> dict[str, Column]:
+    """What the statistics are counted in. A projection of its own, so that it is made once a text."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}'’\-]+"), lambda x: x != "")
-    n_words = F.size(words)
+    return {
+        "__dense": F.regexp_replace(text, r"\s+", ""),
+        "__lines": F.filter(F.split(text, r"\r\n?|\n"), lambda x: F.trim(x) != ""),
+        "__words": words,
+    }
+
+
+def statistics(text: Column, common: Sequence[str]) -> dict[str, Column]:
+    """Named statistics of one text, whose ``parts`` are columns."""
+    dense, lines, words = F.col("__dense"), F.col("__lines"), F.col("__words")
+    n, n_lines, n_words = F.length(dense), F.size(lines), F.size(words)
     latin = F.filter(words, lambda x: x.rlike("[a-zà-ÿœ]"))
     n_latin = F.size(latin)
 
@@ -63,7 +70,7 @@ def statistics(text: Column, common: Sequence[str]) -> dict[str, Column]:
         "sentences": of_chars(r"[\p{L}\p{N}%％)）](?:[.!?](?=\s|$)|[。！？])") * 100,
         "common_words": F.when(n_latin > 0, F.size(F.filter(latin, lambda x: x.isin(list(common)))) / n_latin) if common else F.lit(None).cast("double"),
         "single_letters": F.when(n_words > 0, F.size(F.filter(words, lambda x: (F.length(x) == 1) | x.rlike(r"[a-z][0-9]|[0-9][a-z]"))) / n_words),
-        "repeated": F.when(n > 0, 1 - F.length(F.regexp_replace(F.regexp_replace(text, r"\s+", ""), r"([^0-9])\1{2,}", "")) / n),
+        "repeated": F.when(n > 0, 1 - F.length(F.regexp_replace(dense, r"([^0-9])\1{2,}", "")) / n),
         "item_lines": share(lambda x: x.rlike(ITEM)),
         "number_lines": share(lambda x: x.rlike(NUMBER)),
         "delimited_lines": share(lambda x: x.rlike(r"(?:\t[^\t]*){2}|(?:\|[^|]*){3}|(?:\S   ?\S.*){2}|(?:\S,(?=\S)[^,]*){2}")),
@@ -126,7 +133,8 @@ def texts_with_statistics(texts: DataFrame, common: DataFrame) -> DataFrame:
     if len(words) > MAX_COMMON:
         raise ValueError(f"more than {MAX_COMMON} common words; give a list of function words")
     stats = statistics(F.col("text"), sorted(words))
-    df = texts.select("src", "row_id", "order", *[c.alias(k) for k, c in stats.items()])
+    made = texts.select("src", "row_id", "order", "text", *[c.alias(k) for k, c in parts(F.col("text")).items()])
+    df = made.select("src", "row_id", "order", *[c.alias(k) for k, c in stats.items()])
     bits = [F.when(F.expr(test), F.lit(1 << k)).otherwise(F.lit(0)) for k, (_, _, test) in enumerate(labelling_functions())]
     total = bits[0]
     for b in bits[1:]:

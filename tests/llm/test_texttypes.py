@@ -48,7 +48,8 @@ def test_odd_input(spark):
 
 def test_statistics(spark):
     text = "The queue, it stops.\n12 % of 40\n\n- the end!"
-    s = spark.createDataFrame([(text,)], "text string").select(*[c.alias(k) for k, c in t.statistics(F.col("text"), ["the", "of", "it"]).items()]).first()
+    made = spark.createDataFrame([(text,)], "text string").select("text", *[c.alias(k) for k, c in t.parts(F.col("text")).items()])
+    s = made.select(*[c.alias(k) for k, c in t.statistics(F.col("text"), ["the", "of", "it"]).items()]).first()
     words = ["the", "queue", "it", "stops", "12", "of", "40", "-", "the", "end"]
     assert s.n_words == len(words) and s.n_lines == 3
     assert s.mean_word_length == pytest.approx(sum(map(len, words)) / len(words))
