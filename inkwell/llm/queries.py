@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read
-from . import encoding, leakage, mojibake, texttypes, unify
+from . import denoise, encoding, leakage, mojibake, texttypes, unify
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,27 @@ def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unify.unify(labels(spark, sf_dir), "text")
 
 
+def scanned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pages, cells and regions, and the lexicon."""
+    cells = read(spark, sf_dir, "cells").select(F.lit("cells").alias("src"), F.col("cell_id").alias("row_id"), "text", F.lit(True).alias("whole_cell"))
+    regions = read(spark, sf_dir, "regions").select(F.lit("regions").alias("src"), F.col("region_id").alias("row_id"), "text", F.lit(False).alias("whole_cell"))
+    return denoise.page_lines(read(spark, sf_dir, "layout_json")), cells.unionByName(regions), read(spark, sf_dir, "lexicon")
+
+
+def p4_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong where, and what it should be."""
+    return denoise.noise(*scanned(spark, sf_dir)).distinct()
+
+
+def p4_readable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repaired text of every page, cell and region."""
+    return denoise.readable(*scanned(spark, sf_dir)).distinct()
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return denoise.noise(*scanned(spark, sf_dir)).select("src", "row_id", "pos", "kind").distinct()
+
+
 def typed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = texttypes.page_texts(read(spark, sf_dir, "layout_json")).select(F.lit("layout_json").alias("src"), F.col("layout_id").alias("row_id"), "order", "text")
     regions = read(spark, sf_dir, "regions").select(F.lit("regions").alias("src"), F.col("region_id").alias("row_id"), F.col("seen_at").alias("order"), "text")
@@ -67,6 +88,9 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_forms": p2_forms,
+    "p4_found": p4_found,
+    "p4_noise": p4_noise,
+    "p4_readable": p4_readable,
     "p5_found": p5_found,
     "p5_types": p5_types,
     "p6_ids": p6_ids,
