@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from . import problems
+from . import problems, reference, sql
 
-FLAGSHIP = "p1_found"
+FLAGSHIP = "math_issue_lines"
 
 QUERIES = {
+    **reference.QUERIES,
     "p1_elements": problems.p1_elements,
     "p1_found": problems.p1_found,
     "p3_compacted": problems.p3_compacted,
     "p3_found": problems.p3_found,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = sql.SQL
