@@ -29,10 +29,11 @@ def commit(df: DataFrame, path: str, write: Callable[[DataFrame, str], None], ov
 
 
 def write_sections(sections: DataFrame, path: str, key: str = "doc_id", overwrite: bool = False) -> None:
-    """SNK-01: merged documents as text, one folder per document, its sections in order. Large documents become several
-    files whose names sort in order."""
-    out = sections.repartitionByRange(key, "page").sortWithinPartitions(key, "page").select(key, F.col("section").alias("value"))
-    commit(out, path, lambda d, p: d.write.partitionBy(key).option("lineSep", "").text(p), overwrite)
+    """SNK-01: merged documents as text, one folder per document, its sections (which end with a newline) in order. Large
+    documents become several files whose names sort in order."""
+    value = F.regexp_replace("section", r"\n\z", "")  # the writer ends every row with one
+    out = sections.repartitionByRange(key, "page").sortWithinPartitions(key, "page").select(key, value.alias("value"))
+    commit(out, path, lambda d, p: d.write.partitionBy(key).text(p), overwrite)
 
 
 def write_issues(issues: DataFrame, path: str, overwrite: bool = False) -> bool:
