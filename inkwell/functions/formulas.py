@@ -19,7 +19,7 @@ SCRIPT = r"[\x{3040}-\x{9FFF}]"
 JAPANESE = r"[\x{3000}-\x{30FF}\x{3400}-\x{9FFF}]"
 MATH_SIGNS = r"[∑Σ∫√≤≥≈≒≠∞]"
 FORMULA_CHARS = (
-    r"[0-9a-zA-Z=+\-*/×÷·・.,;:!?'\"|^_`~\\()\[\]{}<>«»＃％＆＠＄＋－＝～‖∥∠≒≈≡≤≥∞∫∑∏√∇°′″→←↔⇒⇔±‰℃πΠΣΩΔΛαβγδεζηθικλμνξοπρστυφχψω]"
+    "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ=+-*/×÷·・.,;:!?'\"|^_`~\\()[]{}<>«»＃％＆＠＄＋－＝～‖∥∠≒≈≡≤≥∞∫∑∏√∇°′″→←↔⇒⇔±‰℃πΠΣΩΔΛαβγδεζηθικλμνξοπρστυφχψω"
 )
 
 
@@ -68,7 +68,7 @@ def formula_block(line: Column) -> Column:
     """PRD-07."""
     s = strip(line)
     body = strip(F.replace(F.replace(s, F.lit("<br>"), F.lit("")), F.lit("　"), F.lit("")))
-    total, math, ja = F.length(body), F.regexp_count(body, F.lit(FORMULA_CHARS)), F.regexp_count(body, F.lit(JAPANESE))
+    total, math, ja = F.length(body), F.length(body) - F.length(F.translate(body, FORMULA_CHARS, "")), F.regexp_count(body, F.lit(JAPANESE))
     breaks = count_of(s, "<br>")
     share = math / total
     veto = s.rlike(r"^(?:#|《|<img|問|- |\* )")

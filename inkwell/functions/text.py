@@ -29,12 +29,16 @@ def settle(text: Column, step: Callable[[Column], Column], rounds: int = ROUNDS)
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), text, lambda acc, _: step(acc))
 
 
+# Fixed value: white space.
+SPACES = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def rstrip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)\s+$", "")
+    return F.rtrim(text, F.lit(SPACES))
 
 
 def count_of(text: Column, literal: str) -> Column:
@@ -121,7 +125,7 @@ def strip_tex(text: Column) -> Column:
     """TXT-05: delimiters and commands of TeX away, their contents kept."""
     for mark in ("\\[", "\\]", "\\(", "\\)"):
         text = F.replace(text, F.lit(mark), F.lit(""))
-    text = settle(fold(text, [TEX_BLOCK]), lambda t: fold(t, [TEX_INLINE]))
+    text = F.when(F.instr(text, "$") > 0, settle(fold(text, [TEX_BLOCK]), lambda t: fold(t, [TEX_INLINE]))).otherwise(text)
     return fold(text, TEX_REST)
 
 
@@ -166,13 +170,17 @@ def media_paths(text: Column) -> Column:
     return F.when(F.instr(text, "$") > 0, fixed).otherwise(text)
 
 
+#: What any of the steps needs to change a line: without it they are passed by.
+TOUCHED = r"(?i)[\\$<{}_^’・●○◆■◇□▶▷\n]|\.{3}|\bbr\b|img|details|summary"
+
+
 def clean_line(line: Column) -> Column:
     """TXT-01: one recognized line through all steps."""
     text = unescape(F.regexp_replace(line, r"\n+$", ""))
     # lines with an address are left alone but for line breaks and dollar signs (TXT-04)
     url = media_paths(F.replace(F.replace(text, F.lit("<br>"), F.lit("")), F.lit("$"), F.lit("")))
     full = media_paths(html_tokens(stray_markers(layout_marks(normalize_heading(apply_templates(strip_tex(text)))))))
-    return F.when(strip(line) == "$$", "").when(text.rlike(URL), url).otherwise(fold(full, [BACK_REFERENCE]))
+    return F.when(~line.rlike(TOUCHED), line).when(strip(line) == "$$", "").when(text.rlike(URL), url).otherwise(fold(full, [BACK_REFERENCE]))
 
 
 PAGE_HEADING = r"(?U)^#\s+Page\s+(\d+)\s*$"
@@ -226,7 +234,7 @@ MATH_DELIMITERS: list[Rule] = [
 
 def math_delimiters(text: Column) -> Column:
     """TXT-14: math delimiters away, again and again, bodies trimmed."""
-    return settle(text, lambda t: fold(t, MATH_DELIMITERS))
+    return F.when(text.rlike(r"\$|\\[(\[]"), settle(text, lambda t: fold(t, MATH_DELIMITERS))).otherwise(text)
 
 
 def split_row(line: Column) -> Column:

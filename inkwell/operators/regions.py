@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,25 +69,20 @@ def contained(lines: DataFrame, snippets: DataFrame, keys: Sequence[str] = PAGE)
 def match_snippets(lines: DataFrame, snippets: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
     """JON-05: each line takes the first snippet of its page that it contains and that no earlier line took.
 
-    Snippets that no line took have a null ``line``: they go to the end of the page. The assignment goes line by line, so
-    a page's candidates are gone through in order; a page is bounded.
+    Snippets that no line took have a null ``line``: they go to the end of the page. The assignment is a fold over a page's
+    candidates in the order of lines and ranks; a page is bounded.
     """
     pairs = contained(lines, snippets, keys)
+    per = pairs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("line", "rank"))).alias("p"))
+    line_t, rank_t = pairs.schema["line"].dataType.simpleString(), pairs.schema["rank"].dataType.simpleString()
+    start = F.array().cast(f"array<struct<line:{line_t},rank:{rank_t}>>")
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken: set[int] = set()
-        rows = []
-        for line, group in pdf.sort_values(["line", "rank"]).groupby("line", sort=True):
-            for r in group.itertuples(index=False):
-                if r.rank not in taken:
-                    taken.add(r.rank)
-                    rows.append((*[getattr(r, k) for k in keys], line, r.rank, r.name))
-                    break
-        return pd.DataFrame(rows, columns=[*keys, "line", "rank", "name"])
-
-    types = dict(pairs.dtypes)
-    chosen = pairs.groupBy(*keys).applyInPandas(one, ", ".join(f"`{c}` {types[c]}" for c in [*keys, "line", "rank", "name"]))
-    return snippets.select(*keys, "rank", "name").join(chosen.select(*keys, "rank", "line"), [*keys, "rank"], "left").select(*keys, "line", "rank", "name")
+    def step(acc: Column, x: Column) -> Column:
+        taken = F.exists(acc, lambda t: (t["line"] == x["line"]) | (t["rank"] == x["rank"]))
+        return F.when(taken, acc).otherwise(F.concat(acc, F.array(x)))
+
+    chosen = per.select(*keys, F.explode(F.aggregate("p", start, step)).alias("c")).select(*keys, "c.line", "c.rank")
+    return snippets.select(*keys, "rank", "name").join(chosen, [*keys, "rank"], "left").select(*keys, "line", "rank", "name")
 
 
 def insert_links(lines: DataFrame, snippets: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:

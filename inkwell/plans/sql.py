@@ -5,7 +5,7 @@ White space is Unicode white space on both sides, lines end where Python's ``spl
 
 from __future__ import annotations
 
-S = r"[\t-\r\x{85}\p{Z}]"
+S = r"[\t-\r\x1C-\x1F\x{85}\p{Z}]"
 WORDS = ("比率", "割合", "分数", "率", "比")
 
 
