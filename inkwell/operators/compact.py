@@ -135,11 +135,14 @@ def compact(files: DataFrame, out: str | None = None, target: int = 64 << 20, bi
     spark = files.sparkSession
     carried = [c for c in files.columns if not c.startswith("__") and c != "bin"]
     # the listing may grow while we work: what is in the manifest is what gets rewritten
-    manifest = materialize(pack(manifest_of(files), target, bins_per_group), "manifest")
+    listed = materialize(manifest_of(files), "listed")
+    manifest = materialize(pack(listed, target, bins_per_group), "manifest")
     bins = manifest.select("bin").distinct().count()
     staging = f"{shared_dir(spark)}/inkwell/staging-{uuid.uuid4().hex}"
     out = out or f"{shared_dir(spark)}/inkwell/compacted-{uuid.uuid4().hex}"
-    kept = files.select(carried).join(manifest.select("file_id", "bin"), "file_id").dropDuplicates(["file_id"]) if _repeats(files) else files.select(carried).join(manifest.select("file_id", "bin"), "file_id")
+    kept = files.select(carried).join(manifest.select("file_id", "bin"), "file_id")
+    if _repeats(files):
+        kept = kept.dropDuplicates(["file_id"])
     kept.select(*carried, "bin").repartition(max(1, bins), "bin").write.partitionBy("bin").parquet(staging)
     schema = kept.select(*carried, "bin").schema
     try:
