@@ -24,6 +24,11 @@ def fold(text: Column, rules: Sequence[Rule]) -> Column:
     return text
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is made once, however often ``f`` uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def settle(text: Column, step: Callable[[Column], Column], rounds: int = ROUNDS) -> Column:
     """``step`` again and again."""
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), text, lambda acc, _: step(acc))
@@ -52,8 +57,7 @@ LINE_ENDS = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\x{2028}\x{2029}]"
 
 def lines_of(text: Column) -> Column:
     """The lines of a text; a line end at the very end begins no further line, an empty text has none."""
-    parts = F.split(text, LINE_ENDS)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
+    return let(F.split(text, LINE_ENDS), lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0)))).otherwise(p))
 
 
 def markdown_lines(text: Column) -> Column:
@@ -125,8 +129,8 @@ def strip_tex(text: Column) -> Column:
     """TXT-05: delimiters and commands of TeX away, their contents kept."""
     for mark in ("\\[", "\\]", "\\(", "\\)"):
         text = F.replace(text, F.lit(mark), F.lit(""))
-    text = F.when(F.instr(text, "$") > 0, settle(fold(text, [TEX_BLOCK]), lambda t: fold(t, [TEX_INLINE]))).otherwise(text)
-    return fold(text, TEX_REST)
+    bare = let(text, lambda t: F.when(F.instr(t, "$") > 0, settle(fold(t, [TEX_BLOCK]), lambda x: fold(x, [TEX_INLINE]))).otherwise(t))
+    return fold(bare, TEX_REST)
 
 
 def apply_templates(text: Column, rules: Sequence[Rule] = TEMPLATES) -> Column:
@@ -137,11 +141,15 @@ def apply_templates(text: Column, rules: Sequence[Rule] = TEMPLATES) -> Column:
 def normalize_heading(text: Column) -> Column:
     """TXT-07: ``# $1-1-1$ title`` gets as many marks as its number has parts, six at most."""
     pattern = r"(?U)^(#+)\s+\$(\d+(?:-\d+)+)\$\s*(.*)$"
-    s = strip(text)
-    number, title = F.regexp_extract(s, pattern, 2), strip(F.replace(F.regexp_extract(s, pattern, 3), F.lit("<br>"), F.lit(" ")))
-    level = F.least(F.lit(6), F.size(F.split(number, "-")))
-    made = F.concat(F.repeat(F.lit("#"), level), F.lit(" "), number, F.when(title != "", F.concat(F.lit(" "), title)).otherwise(""))
-    return F.when(s.rlike(pattern), made).otherwise(text)
+
+    def one(t: Column) -> Column:
+        s = strip(t)
+        number, title = F.regexp_extract(s, pattern, 2), strip(F.replace(F.regexp_extract(s, pattern, 3), F.lit("<br>"), F.lit(" ")))
+        level = F.least(F.lit(6), F.size(F.split(number, "-")))
+        made = F.concat(F.repeat(F.lit("#"), level), F.lit(" "), number, F.when(title != "", F.concat(F.lit(" "), title)).otherwise(""))
+        return F.when(s.rlike(pattern), made).otherwise(t)
+
+    return let(text, one)
 
 
 def layout_marks(text: Column) -> Column:
@@ -165,9 +173,12 @@ def final_tokens(text: Column) -> Column:
 
 def media_paths(text: Column) -> Column:
     """TXT-11: no dollar signs inside media paths."""
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(MEDIA_PATH), 1))
-    fixed = F.aggregate(found, text, lambda acc, p: F.replace(acc, p, F.replace(p, F.lit("$"), F.lit(""))))
-    return F.when(F.instr(text, "$") > 0, fixed).otherwise(text)
+
+    def one(t: Column) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(t, F.lit(MEDIA_PATH), 1))
+        return F.when(F.instr(t, "$") > 0, F.aggregate(found, t, lambda acc, p: F.replace(acc, p, F.replace(p, F.lit("$"), F.lit(""))))).otherwise(t)
+
+    return let(text, one)
 
 
 #: What any of the steps needs to change a line: without it they are passed by.
@@ -176,11 +187,17 @@ TOUCHED = r"(?i)[\\$<{}_^’・●○◆■◇□▶▷\n]|\.{3}|\bbr\b|img|deta
 
 def clean_line(line: Column) -> Column:
     """TXT-01: one recognized line through all steps."""
-    text = unescape(F.regexp_replace(line, r"\n+$", ""))
-    # lines with an address are left alone but for line breaks and dollar signs (TXT-04)
-    url = media_paths(F.replace(F.replace(text, F.lit("<br>"), F.lit("")), F.lit("$"), F.lit("")))
-    full = media_paths(html_tokens(stray_markers(layout_marks(normalize_heading(apply_templates(strip_tex(text)))))))
-    return F.when(~line.rlike(TOUCHED), line).when(strip(line) == "$$", "").when(text.rlike(URL), url).otherwise(fold(full, [BACK_REFERENCE]))
+
+    def full(text: Column) -> Column:
+        # lines with an address are left alone but for line breaks and dollar signs (TXT-04)
+        url = media_paths(F.replace(F.replace(text, F.lit("<br>"), F.lit("")), F.lit("$"), F.lit("")))
+        rest = media_paths(html_tokens(stray_markers(layout_marks(normalize_heading(apply_templates(strip_tex(text)))))))
+        return F.when(text.rlike(URL), url).otherwise(fold(rest, [BACK_REFERENCE]))
+
+    def one(x: Column) -> Column:
+        return F.when(~x.rlike(TOUCHED), x).when(strip(x) == "$$", "").otherwise(let(unescape(F.regexp_replace(x, r"\n+$", "")), full))
+
+    return let(line, one)
 
 
 PAGE_HEADING = r"(?U)^#\s+Page\s+(\d+)\s*$"
@@ -234,7 +251,7 @@ MATH_DELIMITERS: list[Rule] = [
 
 def math_delimiters(text: Column) -> Column:
     """TXT-14: math delimiters away, again and again, bodies trimmed."""
-    return F.when(text.rlike(r"\$|\\[(\[]"), settle(text, lambda t: fold(t, MATH_DELIMITERS))).otherwise(text)
+    return let(text, lambda t: F.when(t.rlike(r"\$|\\[(\[]"), settle(t, lambda x: fold(x, MATH_DELIMITERS))).otherwise(t))
 
 
 def split_row(line: Column) -> Column:
@@ -267,7 +284,6 @@ def image_tags(text: Column) -> Column:
 def sanitize_math(text: Column) -> Column:
     """TXT-18: ``\\(..\\)`` to ``$..$``, ``\\[..\\]`` to ``$$..$$``, operators in their bodies un-escaped."""
     pattern = r"(?s)(\\\(|\\\[)(.*?)(\\\)|\\\])"
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), 0))
 
     def one(m: Column) -> Column:
         body = F.substring(m, F.lit(3), F.length(m) - 4)
@@ -276,7 +292,7 @@ def sanitize_math(text: Column) -> Column:
         mark = F.when(m.startswith("\\["), "$$").otherwise("$")
         return F.concat(mark, body, mark)
 
-    return F.aggregate(found, text, lambda acc, m: F.replace(acc, m, one(m)))
+    return let(text, lambda t: F.aggregate(F.array_distinct(F.regexp_extract_all(t, F.lit(pattern), 0)), t, lambda acc, m: F.replace(acc, m, one(m))))
 
 
 def rewrite_links(text: Column, names: Column) -> Column:

@@ -141,6 +141,21 @@ def outline_symbol(a: np.ndarray, least_hole: int = 20, least_corner: float = 0.
     return "□" if corner >= least_corner else "○"
 
 
+def filtered(a: np.ndarray, kind: str, size: int = 3, percent: int = 120, threshold: int = 3) -> np.ndarray:
+    """ARR-05: minimum and median filters over squares, and an unsharp mask over the mean of a square; edges are repeated."""
+    h = size // 2
+    p = np.pad(a.astype(float), h, mode="edge")
+    stack = np.stack([p[i : i + a.shape[0], j : j + a.shape[1]] for i in range(size) for j in range(size)])
+    if kind == "min":
+        return stack.min(0).astype(a.dtype)
+    if kind == "median":
+        return np.median(stack, 0).astype(a.dtype)
+    if kind == "unsharp":
+        d = a - stack.mean(0)
+        return np.clip(np.where(np.abs(d) >= threshold, a + d * percent / 100, a), 0, 255).astype(a.dtype)
+    raise ValueError(f"unknown filter: {kind}")
+
+
 def symbols(crops: DataFrame, keys: Sequence[str], threshold: int = 235, min_black: float = 0.012) -> DataFrame:
     """ARR-09, JON-08: the symbol drawn in each crop (``width``, ``height``, ``pixels`` in grey), or null."""
     types = dict(crops.dtypes)
