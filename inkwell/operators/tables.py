@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import file_name, is_blank, is_symbol, sheet_title, typed_value
 from ..functions.text import plain_text, strip
+from ..session import materialize
 
 KEYS = ("doc_id", "page", "table_no")
 
@@ -156,17 +157,18 @@ def segments(cells: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 def unique_names(df: DataFrame, group: Sequence[str], order: Sequence[str], base: str, out: str, max_len: int) -> DataFrame:
     """WIN-12: names that are unique within a group, in order: the first keeps its name, the next get ``_2``, ``_3``, ...
 
-    Where no name of a family (a name without such a suffix) looks like one that has been given a suffix, the suffix is
-    the row number: a window that sorts and spills, whatever the size of the group. Only the other families are gone
-    through one by one.
+    The suffix is the row number among equal names: a window that sorts and spills, whatever the size of the group. Only
+    families of names (what they are without such suffixes) in which a suffixed name meets a name that was there, or
+    gets too long, are gone through one by one.
     """
-    family = F.regexp_replace(F.col(base), r"(?:_[0-9]+)+$", "")
-    at = df.withColumn("__family", F.left(family, F.lit(max(1, max_len - 12))))
-    keys = [*group, "__family"]
-    odd = at.where((F.col(base) != F.col("__family")) | (F.length(base) > max_len - 12)).select(*keys).distinct().withColumn("__odd", F.lit(True))
-    at = at.join(odd, keys, "left")
+    stem = F.left(F.regexp_replace(F.col(base), r"(?:_[0-9]+)+$", ""), F.lit(max(1, max_len - 12)))
     n = F.row_number().over(Window.partitionBy(*group, base).orderBy(*order))
-    plain = at.where("__odd is null").withColumn(out, F.when(n == 1, F.col(base)).otherwise(F.concat_ws("_", F.col(base), n.cast("string")))).drop("__family", "__odd")
+    made = F.when(F.col("__n") == 1, F.col(base)).otherwise(F.concat_ws("_", F.col(base), F.col("__n").cast("string")))
+    at = df.withColumn("__family", stem).withColumn("__n", n).withColumn(out, made)
+    keys = [*group, "__family"]
+    clash = at.groupBy(*keys, out).agg(F.count(F.lit(1)).alias("__c")).where((F.col("__c") > 1) | (F.length(out) > max_len)).select(*keys).distinct().withColumn("__odd", F.lit(True))
+    at = at.join(clash, keys, "left")
+    plain = at.where("__odd is null").drop("__family", "__odd", "__n")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         used: set[str] = set()
@@ -180,9 +182,9 @@ def unique_names(df: DataFrame, group: Sequence[str], order: Sequence[str], base
                 name = b[: max_len - len(tail)] + tail
             used.add(name)
             names.append(name)
-        return pdf.assign(**{out: names}).drop(columns=["__family", "__odd"])
+        return pdf.assign(**{out: names}).drop(columns=["__family", "__odd", "__n"])
 
-    schema = at.drop("__family", "__odd").withColumn(out, F.lit("")).schema
+    schema = plain.schema
     hard = at.where("__odd").groupBy(*keys).applyInPandas(one, schema)
     return plain.unionByName(hard)
 
@@ -191,12 +193,15 @@ def sheets(cells: DataFrame, prefix: str = "sheet", keys: Sequence[str] = KEYS)
     """SNK-04, SNK-06: segments with the names of their sheets and files, unique within a document."""
     s = segments(cells, keys)
     doc, order = [keys[0]], [*keys[1:], "segment"]
-    s = s.withColumn("segment_no", F.row_number().over(Window.partitionBy(*doc).orderBy(*order)))
     fallback = F.concat(F.lit(prefix + "_"), F.col("segment_no").cast("string"))
     name = F.when(F.col("name") == "", fallback).otherwise(F.col("name"))
-    s = s.withColumn("__sheet", sheet_title(name, fallback)).withColumn("__file", F.concat(F.col(keys[0]), F.lit("__"), file_name(name, fallback)))
-    s = unique_names(s, doc, ["segment_no"], "__sheet", "sheet", 31)
-    return unique_names(s, doc, ["segment_no"], "__file", "file", 200).drop("__sheet", "__file")
+    n = s.select(*keys, "segment", "name").withColumn("segment_no", F.row_number().over(Window.partitionBy(*doc).orderBy(*order)))
+    n = n.select(*keys, "segment", "segment_no", sheet_title(name, fallback).alias("__sheet"), F.concat(F.col(keys[0]), F.lit("__"), file_name(name, fallback)).alias("__file"))
+    # names are made on a narrow table of their own, which is read several times
+    n = unique_names(materialize(n, "names"), doc, ["segment_no"], "__sheet", "sheet", 31)
+    n = unique_names(n, doc, ["segment_no"], "__file", "file", 200).drop("__sheet", "__file")
+    same = [s[k].eqNullSafe(n[k]) for k in (*keys, "segment")]
+    return s.join(n, same).select(*[s[c] for c in s.columns], "segment_no", "sheet", "file")
 
 
 def typed_cells(s: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

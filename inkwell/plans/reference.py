@@ -273,6 +273,11 @@ def segment_headers(s: SparkSession, d: str) -> DataFrame:
     return h.select(*TB.KEYS, "segment", "width", "name", F.array_join("header", "|").alias("header"), F.size("data").alias("n_rows"))
 
 
+def segment_shapes(s: SparkSession, d: str) -> DataFrame:
+    h = TB.segments(cells(s, d))
+    return h.select(*TB.KEYS, "segment", "width", "name", F.size("header_rows").alias("n_header"), F.size("data_rows").alias("n_data"))
+
+
 def segment_names(s: SparkSession, d: str) -> DataFrame:
     return TB.sheets(cells(s, d)).select(*TB.KEYS, "segment", "sheet", "file")
 

@@ -216,6 +216,7 @@ SQL: dict[str, str] = {
     "cell_grid": f"SELECT * FROM {GRID}",
     "row_signatures": f"SELECT {_T}, r, CASE WHEN NOT blank THEN signature END AS signature, has_symbol FROM {SIGNED}",
     "table_segments": f"SELECT {_T}, segment, role, r FROM {SEGMENTS} WHERE segment <= total",
+    "segment_shapes": f"SELECT {_T}, segment, CAST(coalesce(nullif(max(CASE WHEN v <> '' THEN c END), 0), max(max_col)) AS INTEGER) AS width, coalesce(min_by(v, r) FILTER (WHERE role = 'data' AND c = 1 AND v <> ''), '') AS name, CAST(count(DISTINCT r) FILTER (WHERE role = 'header') AS INTEGER) AS n_header, CAST(count(DISTINCT r) FILTER (WHERE role = 'data') AS INTEGER) AS n_data FROM (SELECT s.*, g.c, g.max_col, {strip('g.value')} AS v FROM (SELECT * FROM {SEGMENTS} WHERE segment <= total) s JOIN {FULL} g ON g.doc_id IS NOT DISTINCT FROM s.doc_id AND g.page IS NOT DISTINCT FROM s.page AND g.table_no = s.table_no AND g.r = s.r) GROUP BY {_T}, segment",
     "math_candidates": f"SELECT layout_id, 0 AS src_no, ord, score FROM (SELECT layout_id, CAST(k AS INTEGER) AS ord, coalesce(p.score, 0.5) AS score, p.contents AS text FROM (SELECT layout_id, paragraphs, generate_subscripts(paragraphs, 1) - 1 AS k, unnest(paragraphs) AS p FROM {LAYOUTS})) WHERE text IS NOT NULL AND {LOOKS_MATH} UNION ALL SELECT layout_id, 1, ord, score FROM (SELECT layout_id, CAST(k AS INTEGER) AS ord, coalesce(p.rec_score, p.det_score, 0.5) AS score, p.content AS text FROM (SELECT layout_id, generate_subscripts(detections, 1) - 1 AS k, unnest(detections) AS p FROM {LAYOUTS})) WHERE text IS NOT NULL AND {LOOKS_MATH}",
     "gated_regions": f"SELECT region_id, {box('box')} AS box FROM {GATED}",
     "top_regions": f"SELECT region_id, CAST(rank AS INTEGER) AS rank, printf('eq_page%03d_%02d.png', page, rank) AS name, {box('[greatest(0, box[1] - 6), greatest(0, box[2] - 6), least(2480, box[3] + 6), least(3508, box[4] + 6)]')} AS crop FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY score DESC, box[2], box[1], ord NULLS FIRST, region_id) AS rank FROM {GATED}) WHERE rank <= 12 AND page IS NOT NULL",
