@@ -131,10 +131,29 @@ def pages_of(x: object, depth: int = 0) -> list[dict]:
     if isinstance(x, dict):
         if any(k in x for k in ARRAYS):
             return [x]
-        return [p for y in x.values() if isinstance(y, dict | list) for p in pages_of(y, depth + 1)]
+        return [p for y in x.values() if isinstance(y, dict | list) or isinstance(y, str) and y.lstrip("\ufeff \n\t\r")[:1] in ("{", "[") for p in pages_of(y, depth + 1)]
     return []
 
 
+# Fields by which a lone element is told from a wrapping object.
+_OWN = {"tables": ("cells",), "paragraphs": ("contents", "role"), "detections": ("content", "points", "det_score", "rec_score"), "figures": ("box",)}
+
+
+def elements_of(array: str, x: object) -> list:
+    """The elements of one of the arrays, if it is JSON text, wrapped in an object, numbered by keys, or one element."""
+    if isinstance(x, str):
+        try:
+            return elements_of(array, json.loads(x))
+        except ValueError:
+            return []
+    if isinstance(x, dict):
+        if any(k in x for k in _OWN[array]):
+            return [x]
+        inner = list(x.values())
+        return elements_of(array, inner[0]) if len(inner) == 1 and isinstance(inner[0], list) else inner
+    return x if isinstance(x, list) else []
+
+
 def _int(x: object) -> int | None:
     try:
         v = int(float(x)) if x is not None and not isinstance(x, bool) else None  # type: ignore[arg-type]
@@ -220,7 +239,7 @@ def parse_raw(text: str | None) -> dict | None:
     except (ValueError, RecursionError):
         return None
     pages = pages_of(value)
-    return {a: [_ONE[a](e) for p in pages for e in _list(p.get(a))] for a in ARRAYS} if pages else None
+    return {a: [_ONE[a](e) for p in pages for e in elements_of(a, p.get(a))] for a in ARRAYS} if pages else None
 
 
 def flatten_raw(raw: DataFrame, payload: bool = True, rows: int = 512) -> DataFrame:

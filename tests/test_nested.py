@@ -93,6 +93,14 @@ def test_raw_wrappings(spark):
     assert flat.where("kind = 'detection'").first().box == [1, 2, 3, 4]
 
 
+def test_wrapped_arrays():
+    n = lambda **k: {a: len(v) for a, v in parse_raw(json.dumps(k)).items() if v}
+    assert n(detections='[{"content": "a"}, null]', figures={"items": [{"box": [1]}, {"box": [2]}]}) == {"detections": 2, "figures": 2}
+    assert n(tables={"cells": [{"row": 1}]}, paragraphs={"0": {"contents": "a"}, "1": None}) == {"tables": 1, "paragraphs": 2}
+    assert n(tables="oops", detections=5, figures=[{}]) == {"figures": 1}
+    assert parse_raw(json.dumps({"data": json.dumps({"figures": [{}]}), "note": "text"}))["figures"] == [{"box": None}]
+
+
 def test_several_pages_are_strung_together():
     two = parse_raw(json.dumps([PAGE, PAGE]))
     assert [d and d["content"] for d in two["detections"]] == ["a", None, "a", None]
