@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import problems, reference, sql
+from . import corpus, problems, sql
 
 FLAGSHIP = "math_issue_lines"
 
 QUERIES = {
-    **reference.QUERIES,
+    **corpus.QUERIES,
     "p1_elements": problems.p1_elements,
     "p1_found": problems.p1_found,
     "p3_compacted": problems.p3_compacted,

@@ -137,7 +137,7 @@ def convert(spark: SparkSession, folders: str, out: str, formats: Sequence[str]
         done["docx"] = f"{out}/docx"
     if {"csv", "xlsx"} & set(formats):
         try:
-            layouts = S.read_layouts(spark, f"{folders}/yomi_formats/json/*.json")
+            layouts = S.read_layouts(spark, f"{folders}/*/json/*.json")
             cells = S.layout_cells(layouts)
         except AnalysisException:  # no layout at all
             cells = spark.createDataFrame([], S.CELLS)

@@ -1,4 +1,4 @@
-"""SQL of the queries in ``reference.py``, for DuckDB over the same tables.
+"""SQL of the queries in ``corpus.py``, for DuckDB over the same tables.
 
 White space is Unicode white space on both sides, lines end where Python's ``splitlines`` ends them.
 """

@@ -73,7 +73,7 @@ def read_layouts(spark: SparkSession, path: str) -> DataFrame:
     meta = raw.select("*", F.col("_metadata.file_path").alias("path"))
     name = F.element_at(F.split("path", "/"), -1)
     out = meta.where(name.rlike(JSON_PAGE))
-    folder = F.coalesce(F.nullif(F.regexp_extract("path", r"([^/]+)/yomi_formats/json/[^/]+$", 1), F.lit("")), F.element_at(F.split("path", "/"), -2))
+    folder = F.coalesce(F.nullif(F.regexp_extract("path", r"([^/]+)/[^/]+/json/[^/]+$", 1), F.lit("")), F.element_at(F.split("path", "/"), -2))
     return out.withColumn("doc_id", folder).withColumn("page", F.regexp_extract(name, JSON_PAGE, 1).cast("int")).orderBy("path")
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 RANGE = r"^処理範囲:\s*(\d+)\s*〜\s*(\d+)"
 PAGE = r"^--- Page (\d+)/(\d+)|^reading page (\d+) of (\d+)"
 DONE = r"^--- Done (\d+)/(\d+)|^layout done: (\d+)/(\d+)|^page (\d+)/(\d+) written"
-STAGES = (("--- merged_md.py を実行 ---", 92.0), ("[dispatcher] Converting to docx", 96.0), ("[dispatcher] processing excel_via=json", 99.0))
+STAGES = ((" を実行 ---", 92.0), ("Converting to docx", 96.0), ("processing excel", 99.0))
 RECOGNITION, MOST, WINDOW = 90.0, 99.0, 5
 
 

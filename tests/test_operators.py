@@ -169,7 +169,7 @@ def test_geometry(spark):
 
 
 T0 = dt.datetime(2024, 1, 1)
-LOG = [("j", 0, 0, "処理範囲: 1〜4"), ("j", 1, 1, "--- Page 1/4 (abs 1/9) ---"), ("j", 2, 11, "--- Done 1/4 ---"), ("j", 3, 12, "--- Page 2/4 ---"), ("j", 4, 32, "--- Done 2/4 ---"), ("j", 4, 32, "--- Done 2/4 ---"), ("j", 5, 40, "--- Done 1/4 ---"), ("j", 6, 41, "--- merged_md.py を実行 ---"), ("j", 7, None, None), ("k", 0, 0, "")]
+LOG = [("j", 0, 0, "処理範囲: 1〜4"), ("j", 1, 1, "--- Page 1/4 (abs 1/9) ---"), ("j", 2, 11, "--- Done 1/4 ---"), ("j", 3, 12, "--- Page 2/4 ---"), ("j", 4, 32, "--- Done 2/4 ---"), ("j", 4, 32, "--- Done 2/4 ---"), ("j", 5, 40, "--- Done 1/4 ---"), ("j", 6, 41, "--- merge を実行 ---"), ("j", 7, None, None), ("k", 0, 0, "")]
 
 
 def log(spark):

@@ -23,7 +23,7 @@ def folders(tmp_path):
     write(tmp_path / "in" / "a" / "page_002.md", "|k|v|\n|---|---|\n|1|2|")
     write(tmp_path / "in" / "b" / "page_001.md", "only text\n\nsecond")
     table = {"tables": [{"cells": [{"row": r, "col": c, "contents": t, "row_span": rs, "col_span": cs} for r, c, t, rs, cs in CELLS]}], "paragraphs": [], "detections": [], "figures": []}
-    write(tmp_path / "in" / "a" / "yomi_formats" / "json" / "page_images_page_001_p1.json", json.dumps(table))
+    write(tmp_path / "in" / "a" / "formats" / "json" / "page_images_page_001_p1.json", json.dumps(table))
     return str(tmp_path / "in" / "*")
 
 
