@@ -344,12 +344,10 @@ def region_lines(s: SparkSession, d: str) -> DataFrame:
 
 
 def snippets(s: SparkSession, d: str) -> DataFrame:
+    """Every region with text, with its own text, numbered by score on its page; no upper bound (WIN-09 has 20, pages have up to 14)."""
     r = regions(s, d).where("text is not null and text <> ''")
     ranked = r.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id", "page").orderBy(F.col("score").desc_nulls_last(), "region_id")))
-    # the longest line of a page stands for a formula of it
-    lines = region_lines(s, d).where("length(text) >= 4").groupBy("doc_id", "page").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("t"))
-    both = ranked.join(lines, ["doc_id", "page"]).where("rank <= 2")
-    return both.select("doc_id", "page", "rank", F.format_string("eq_page%03d_%02d.png", "page", "rank").alias("name"), F.when(F.col("rank") == 1, F.col("t")).otherwise(F.col("text")).alias("text"))
+    return ranked.select("doc_id", "page", "rank", F.format_string("eq_page%03d_%02d.png", "page", "rank").alias("name"), "text")
 
 
 def snippet_candidates(s: SparkSession, d: str) -> DataFrame:
