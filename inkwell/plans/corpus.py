@@ -18,7 +18,7 @@ from ..operators import lines as L
 from ..operators import merge as MG
 from ..operators import regions as R
 from ..operators import tables as TB
-from ..operators.compact import path_parts
+from ..operators.compact import path_parts, with_record
 from ..operators.delivery import latest_delivery
 from ..session import read
 from ..sinks.files import segment_lines
@@ -47,10 +47,13 @@ def regions(s: SparkSession, d: str) -> DataFrame:
 
 
 def page_parts(s: SparkSession, d: str) -> DataFrame:
-    """Page parts of the listing, each (folder, page, part) once: the lowest file."""
-    parsed = MG.parse_pages(read(s, d, "page_files").drop("page", "part").where("text is not null"))
-    one = parsed.groupBy("doc_id", "page", "part").agg(F.min("file_id").alias("file_id"))
-    return parsed.join(one, ["doc_id", "page", "part", "file_id"], "left_semi").select("doc_id", "page", "part", "path", "text")
+    """Page parts of the listing, each record once as in problem 3: same folder, file name and text (line ends aside).
+
+    Other files of a part stay, and other texts of a file. ``path`` is the folder and file name, however it was spelled.
+    """
+    parsed = with_record(MG.parse_pages(read(s, d, "page_files").drop("page", "part").where("text is not null")))
+    one = parsed.groupBy("__record").agg(F.min("file_id").alias("file_id"))
+    return parsed.join(one, ["__record", "file_id"], "left_semi").select("doc_id", "page", "part", F.concat_ws("/", "__folder", "__name").alias("path"), "text")
 
 
 # ---- lines and predicates

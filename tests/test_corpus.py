@@ -26,3 +26,21 @@ def test_all_regions_of_a_page_are_linked(spark, tmp_path):
     links = [r.text for r in Q.linked_pages(spark, d).orderBy("line").collect() if r.text]
     at = lambda k: f"![eq](figures/eq_page001_{k:02d}.png)"
     assert links == [lines[0], at(1), lines[1], at(5), lines[2], at(3), lines[3], at(4), lines[4], at(2)]
+
+
+def test_all_files_of_a_part_are_merged(spark, tmp_path):
+    files = [
+        (1, "r/d/page10_p01.md", ""),  # an empty listing of the file below
+        (2, "./r//d/page10_p01.md", "比率 = 1/2"),
+        (3, "r/d/draft_page10_p01.md", "draft"),
+        (4, "r/d/page10_p01.md", "比率 = 1/2\r\n"),  # listed again
+        (5, "r/d/page10_p02.md", "draft"),  # the same text in another part
+        (6, "r/d/page10_p01.md", "新しい"),  # the same file with another text
+        (7, "r/d/page_011.md", "eleven"),
+        (8, "r/d/page_011.md", None),
+    ]
+    d = tables(spark, tmp_path, page_files=([(k, "d", None, None, p, t) for k, p, t in files], "file_id bigint, doc_id string, page int, part int, path string, text string"))
+    ten = "draft\n\n新しい\n\n比率 = 1/2\n\ndraft"
+    assert {r.page: r.text for r in Q.merged_pages(spark, d).collect()} == {10: ten, 11: "eleven"}
+    assert [r.section for r in Q.merged_sections(spark, d).orderBy("page").collect()] == [f"# Page 10\n\n{ten}\n\n", "\n# Page 11\n\neleven\n\n"]
+    assert [(r.page, r.line, r.reason) for r in Q.page_issues(spark, d).collect()] == [(10, 5, "fraction_like")]
