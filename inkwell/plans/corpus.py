@@ -473,13 +473,14 @@ def job_progress(s: SparkSession, d: str) -> DataFrame:
 
 
 def job_tail(s: SparkSession, d: str) -> DataFrame:
-    return P.last_lines(read(s, d, "progress_log").dropDuplicates(["job_id", "seq"]), n=20).select("job_id", "seq")
+    return P.last_lines(read(s, d, "progress_log").dropDuplicates(["job_id", "seq"])).select("job_id", "seq")
 
 
 def marked_log(s: SparkSession, d: str) -> DataFrame:
-    log = read(s, d, "progress_log").select("job_id", "seq", "line")
+    """The merged log of every job in the order of ``seq``; lines delivered twice count once, null lines are left out."""
+    log = read(s, d, "progress_log").select("job_id", "seq", "line").distinct()
     err = F.col("line").startswith("stderr")
-    return P.merged_log(log.where(~err), log.where(err)).groupBy(F.substring("line", 1, 5).alias("head")).agg(F.count(F.lit(1)).alias("n"))
+    return P.merged_log(log.where(~err), log.where(err))
 
 
 def _drained(s: SparkSession, stream: DataFrame, mode: str, name: str) -> DataFrame:

@@ -44,3 +44,11 @@ def test_all_files_of_a_part_are_merged(spark, tmp_path):
     assert {r.page: r.text for r in Q.merged_pages(spark, d).collect()} == {10: ten, 11: "eleven"}
     assert [r.section for r in Q.merged_sections(spark, d).orderBy("page").collect()] == [f"# Page 10\n\n{ten}\n\n", "\n# Page 11\n\neleven\n\n"]
     assert [(r.page, r.line, r.reason) for r in Q.page_issues(spark, d).collect()] == [(10, 5, "fraction_like")]
+
+
+def test_whole_logs(spark, tmp_path):
+    log = [("a", k, f"line {k}") for k in range(1, 231)] + [("a", 7, "line 7"), ("b", 1, "stderr: no page"), ("b", 2, None), ("b", 3, ""), ("b", 3, "")]
+    d = tables(spark, tmp_path, progress_log=(log, "job_id string, seq bigint, line string"))
+    assert sorted(tuple(r) for r in Q.job_tail(spark, d).collect()) == [("a", k) for k in range(31, 231)] + [("b", 1), ("b", 2), ("b", 3)]
+    want = [("a", k, f"line {k}") for k in range(1, 231)] + [("b", 1, "[err] stderr: no page"), ("b", 3, "")]
+    assert sorted((r.job_id, r.seq, r.line) for r in Q.marked_log(spark, d).collect()) == want
