@@ -117,22 +117,24 @@ def flatten_layouts(layouts: DataFrame, payload: bool = True) -> DataFrame:
 # ---- raw JSON
 
 
-def pages_of(x: object, depth: int = 0) -> list[dict]:
-    """The page objects in a parsed JSON value, however wrapped."""
-    if depth > 8:
-        return []
-    if isinstance(x, str):
-        try:
-            return pages_of(json.loads(x.lstrip("﻿")), depth + 1)
-        except ValueError:
-            return []
-    if isinstance(x, list):
-        return [p for y in x if isinstance(y, dict | list | str) for p in pages_of(y, depth + 1)]
-    if isinstance(x, dict):
-        if any(k in x for k in ARRAYS):
-            return [x]
-        return [p for y in x.values() if isinstance(y, dict | list) or isinstance(y, str) and y.lstrip("\ufeff \n\t\r")[:1] in ("{", "[") for p in pages_of(y, depth + 1)]
-    return []
+def pages_of(x: object) -> list[dict]:
+    """The page objects in a parsed JSON value, however wrapped and however deep; also those beside the arrays of another."""
+    found, rest = [], [x]
+    while rest:
+        x = rest.pop()
+        if isinstance(x, str):
+            try:
+                rest.append(json.loads(x.lstrip("\ufeff")))
+            except (ValueError, RecursionError):
+                pass
+        elif isinstance(x, list):
+            rest += [y for y in reversed(x) if isinstance(y, dict | list | str)]
+        elif isinstance(x, dict):
+            if any(k in x for k in ARRAYS):
+                found.append(x)
+            inner = [y for k, y in x.items() if k not in ARRAYS]
+            rest += [y for y in reversed(inner) if isinstance(y, dict | list) or isinstance(y, str) and y.lstrip("\ufeff \n\t\r")[:1] in ("{", "[")]
+    return found
 
 
 # Fields by which a lone element is told from a wrapping object.

@@ -110,3 +110,15 @@ def test_latest_delivery(spark):
     rows = [(1, 1, "old"), (1, 2, "new"), (2, 1, "only"), (None, 1, "n1"), (None, 1, "n2"), (3, None, "z"), (3, 0, "dated"), (4, 5, "b"), (4, 5, "a")]
     df = spark.createDataFrame(rows, "k int, o int, v string")
     assert sorted(r.v for r in latest_delivery(df, "k", "o", "v").collect()) == ["a", "dated", "n1", "n2", "new", "only"]
+
+
+def test_pages_at_any_depth_and_beside_arrays():
+    from inkwell.operators import nested as N
+
+    page = {"detections": [{"content": "a"}]}
+    deep = page
+    for k in range(20):
+        deep = [deep] if k % 2 else {"result": deep}
+    assert N.pages_of(deep) == [page]
+    mixed = {"figures": [], "result": page, "more": json.dumps([{"tables": []}])}
+    assert N.pages_of(mixed) == [mixed, page, {"tables": []}]
