@@ -13,10 +13,6 @@ from pyspark.sql import functions as F
 
 Rule = tuple[str, str]
 
-#: Rounds after which repeated removal of delimiters is taken to have settled: each round removes all pairs there are.
-ROUNDS = 6
-
-
 def fold(text: Column, rules: Sequence[Rule]) -> Column:
     """The rules one after another."""
     for pattern, to in rules:
@@ -29,9 +25,19 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
-def settle(text: Column, step: Callable[[Column], Column], rounds: int = ROUNDS) -> Column:
-    """``step`` again and again."""
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), text, lambda acc, _: step(acc))
+def settle(text: Column, step: Callable[[Column], Column], marks: Sequence[str]) -> Column:
+    """``step`` again and again until the text stays as it is.
+
+    A round that changes the text takes at least two of its ``marks`` away, so their number bounds the rounds: no text is
+    left half done, however deep its marks are nested. Rounds behind the last change do nothing.
+    """
+    rounds = sum((count_of(text, m) for m in marks), F.lit(1))
+    start = F.struct(text.alias("t"), F.lit(False).alias("done"))
+
+    def once(acc: Column, _: Column) -> Column:
+        return F.when(acc["done"], acc).otherwise(let(step(acc["t"]), lambda y: F.struct(y.alias("t"), (y == acc["t"]).alias("done"))))
+
+    return F.aggregate(F.sequence(F.lit(1), rounds), start, once, lambda acc: acc["t"])
 
 
 # Fixed value: white space.
@@ -70,7 +76,7 @@ def markdown_lines(text: Column) -> Column:
 # Patterns of the cleaning steps, in their order.
 UNESCAPE: list[Rule] = [(r"\\([-+={}()\[\]<>$\\])", "$1"), (r"\\\\", r"\\")]
 URL = r"(?U)https?://\S+|www\.\S+"
-TEX_BLOCK: Rule = (r"\$\$(?U:\s*)([\s\S]+?)(?U:\s*)\$\$", "$1")
+TEX_BLOCK: Rule = (r"\$\$(?:(?U:\s+)|(?U:\s*)([\s\S]+?)(?U:\s*))\$\$", "$1")
 TEX_INLINE: Rule = (r"\$([^$]+)\$", "$1")
 TEX_REST: list[Rule] = [
     (r"\\text\{([^}]*)\}", "$1"),
@@ -129,7 +135,7 @@ def strip_tex(text: Column) -> Column:
     """TXT-05: delimiters and commands of TeX away, their contents kept."""
     for mark in ("\\[", "\\]", "\\(", "\\)"):
         text = F.replace(text, F.lit(mark), F.lit(""))
-    bare = let(text, lambda t: F.when(F.instr(t, "$") > 0, settle(fold(t, [TEX_BLOCK]), lambda x: fold(x, [TEX_INLINE]))).otherwise(t))
+    bare = let(text, lambda t: F.when(F.instr(t, "$") > 0, let(fold(t, [TEX_BLOCK]), lambda b: settle(b, lambda x: fold(x, [TEX_INLINE]), ["$"]))).otherwise(t))
     return fold(bare, TEX_REST)
 
 
@@ -242,16 +248,16 @@ PLAIN_END: list[Rule] = [(r"</?[^>]+>", ""), (r"\n{3,}", "\n\n")]
 DIVIDER = r"(?U)^\s*\|?(?:\s*:?[-]{2,}:?\s*\|)+\s*:?[-]{2,}:?\s*\|?\s*$"
 TABLE_ROW = r"(?U)^\s*\|.+\|\s*$"
 MATH_DELIMITERS: list[Rule] = [
-    (r"\$\$(?U:\s*)([\s\S]+?)(?U:\s*)\$\$", "$1"),
-    (r"\\\((?U:\s*)([\s\S]+?)(?U:\s*)\\\)", "$1"),
-    (r"\\\[(?U:\s*)([\s\S]+?)(?U:\s*)\\\]", "$1"),
-    (r"\$(?U:\s*)([^$]+?)(?U:\s*)\$", "$1"),
+    (r"\$\$(?:(?U:\s+)|(?U:\s*)([\s\S]+?)(?U:\s*))\$\$", "$1"),
+    (r"\\\((?:(?U:\s+)|(?U:\s*)([\s\S]+?)(?U:\s*))\\\)", "$1"),
+    (r"\\\[(?:(?U:\s+)|(?U:\s*)([\s\S]+?)(?U:\s*))\\\]", "$1"),
+    (r"\$(?:(?U:\s+)|(?U:\s*)([^$]+?)(?U:\s*))\$", "$1"),
 ]
 
 
 def math_delimiters(text: Column) -> Column:
     """TXT-14: math delimiters away, again and again, bodies trimmed."""
-    return let(text, lambda t: F.when(t.rlike(r"\$|\\[(\[]"), settle(t, lambda x: fold(x, MATH_DELIMITERS))).otherwise(t))
+    return let(text, lambda t: F.when(t.rlike(r"\$|\\[(\[]"), settle(t, lambda x: fold(x, MATH_DELIMITERS), ["$", "\\"])).otherwise(t))
 
 
 def split_row(line: Column) -> Column:
@@ -265,12 +271,19 @@ def row_to_tsv(line: Column) -> Column:
     return rstrip(F.array_join(split_row(line), "\t"))
 
 
+#: What any of the steps to plain text needs to change a text beyond its ends: without it they are passed by.
+PLAIN_TOUCHED = r"[<>`!\[\]#\-*_|$\\\n\r\x0B\x0C\x1C-\x1E\x85\x{2028}\x{2029}]"
+
+
 def plain_text(markdown: Column) -> Column:
     """TXT-13: Markdown to plain text. Null is an empty text."""
-    text = fold(F.coalesce(markdown, F.lit("")), PLAIN_BLOCKS)
-    rows = F.transform(F.filter(lines_of(text), lambda x: ~x.rlike(DIVIDER)), lambda x: F.when(x.rlike(TABLE_ROW) & (count_of(x, "|") >= 2), row_to_tsv(x)).otherwise(x))
-    text = fold(F.array_join(rows, "\n"), PLAIN_INLINE)
-    return strip(fold(math_delimiters(text), PLAIN_END))
+
+    def full(t: Column) -> Column:
+        text = fold(t, PLAIN_BLOCKS)
+        rows = F.transform(F.filter(lines_of(text), lambda x: ~x.rlike(DIVIDER)), lambda x: F.when(x.rlike(TABLE_ROW) & (count_of(x, "|") >= 2), row_to_tsv(x)).otherwise(x))
+        return strip(fold(math_delimiters(fold(F.array_join(rows, "\n"), PLAIN_INLINE)), PLAIN_END))
+
+    return let(F.coalesce(markdown, F.lit("")), lambda t: F.when(t.rlike(PLAIN_TOUCHED), full(t)).otherwise(strip(t)))
 
 
 # ---- figures and formulas in Markdown

@@ -13,14 +13,16 @@ def latest_delivery(df: DataFrame, key: str, order: str, tie: str | None = None)
 
     Wide rows are not shuffled for the many keys that occur once: a narrow count finds the keys that
     repeat, only their rows go through a window. Rows with a null key are each their own record.
-    Ties in ``order`` are broken by ``tie`` if given; rows that also tie there are taken to be copies.
+    Ties in ``order`` are broken by ``tie`` if given, then by the hash of the whole row, so that the same rows give the same
+    result every time; rows that tie there, too, are copies.
     """
     again = small_or_not(
         df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(key),
         "again",
     )
     once = df.join(again, key, "left_anti")
-    by = [F.col(order).desc_nulls_last()] + ([F.col(tie).asc_nulls_last()] if tie else [])
+    hashed = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    by = [F.col(order).desc_nulls_last()] + ([F.col(tie).asc_nulls_last()] if tie else []) + [F.xxhash64(*hashed)]
     many = (
         df.join(again, key, "left_semi")
         .withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(*by)))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -88,61 +87,88 @@ def black_ratio(pixels: Column) -> Column:
     return F.when(F.size(pixels) > 0, F.size(F.filter(pixels, lambda p: p == 0)) / F.size(pixels)).otherwise(0.0)
 
 
-def _ratio(a: np.ndarray) -> float:
-    return float((a == 0).mean()) if a.size else 0.0
+# Shares and thresholds of rings.
+RING_INK, RING_CENTRE, RING_EDGE, RING_CONTRAST, RING_BALANCE, RING_LEAST = (0.01, 0.25), (0.3, 0.7), 0.15, 1.8, (0.6, 1.6), 8
 
 
-def looks_like_ring(a: np.ndarray) -> bool:
-    """AGG-06: a dark edge around a light centre, balanced left and right, top and bottom. ``a``: 0 and 255."""
-    h, w = a.shape
-    if min(w, h) < 8 or not 0.01 <= _ratio(a) <= 0.25:
-        return False
-    centre = _ratio(a[int(h * 0.3) : int(h * 0.7), int(w * 0.3) : int(w * 0.7)])
-    b = max(1, int(min(w, h) * 0.15))
-    parts = [a[:b], a[h - b :], a[:, :b], a[:, w - b :]]
-    edge = sum(int((p == 0).sum()) for p in parts) / sum(p.size for p in parts)
-    if edge <= centre * 1.8:
-        return False
-    sides = _ratio(a[:, : w // 2]) / max(_ratio(a[:, w // 2 :]), 1e-6), _ratio(a[: h // 2]) / max(_ratio(a[h // 2 :]), 1e-6)
-    return all(0.6 <= x <= 1.6 for x in sides)
+def ring_measures(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """AGG-06: from rows of pixels (``x``, ``y``, ``v`` of 0 or 255, ``width``, ``height``) the share of black of each picture,
+    in its centre, in the bands along its edges (corners count for both), and in its halves; and whether that is a ring."""
+    w, h, x, y = (F.col(c) for c in ("width", "height", "x", "y"))
+    black = (F.col("v") == 0).cast("int")
+    band = F.greatest(F.lit(1), (F.least(w, h) * RING_EDGE).cast("int"))
+    lo, hi = RING_CENTRE
+    centre = (y >= (h * lo).cast("int")) & (y < (h * hi).cast("int")) & (x >= (w * lo).cast("int")) & (x < (w * hi).cast("int"))
+    times = sum((t.cast("int") for t in (y < band, y >= h - band, x < band, x >= w - band)), F.lit(0))
+    share = lambda part: F.coalesce(F.avg(F.when(part, black)), F.lit(0.0))
+    halves = {"left": x < F.floor(w / 2), "right": x >= F.floor(w / 2), "top": y < F.floor(h / 2), "bottom": y >= F.floor(h / 2)}
+    m = pixels.groupBy(*keys, "width", "height").agg(
+        share(F.lit(True)).alias("ink"), share(centre).alias("centre"), (F.sum(black * times) / F.sum(times)).alias("edge"), *[share(c).alias(n) for n, c in halves.items()]
+    )
+    ratio = lambda a, b: (F.col(a) / F.greatest(F.col(b), F.lit(1e-6))).between(*RING_BALANCE)
+    ring = (F.least(w, h) >= RING_LEAST) & F.col("ink").between(*RING_INK) & (F.col("edge") > F.col("centre") * RING_CONTRAST) & ratio("left", "right") & ratio("top", "bottom")
+    return m.withColumn("ring", ring)
 
 
-def outline_symbol(a: np.ndarray, least_hole: int = 20, least_corner: float = 0.06) -> str | None:
-    """ARR-04, ARR-05: ``○`` or ``□`` if the black outline of a small picture encloses white, else None.
+# Side of the raster that outlines are judged on, least hole, size of a corner and how much ink makes it one.
+RASTER, LEAST_HOLE, CORNER, LEAST_CORNER = 64, 20, 0.18, 0.06
 
-    The outline is thickened by two 3 by 3 minimum filters, the picture brought to 64 by 64, and the white that can be
-    reached from the border in four directions is taken away: what is left is the hole.
+
+def _spread(mask: np.ndarray) -> np.ndarray:
+    """A stack of masks (picture, y, x), each place or-ed with its four neighbours."""
+    out = mask.copy()
+    out[:, 1:] |= mask[:, :-1]
+    out[:, :-1] |= mask[:, 1:]
+    out[:, :, 1:] |= mask[:, :, :-1]
+    out[:, :, :-1] |= mask[:, :, 1:]
+    return out
+
+
+def _raster(black: np.ndarray) -> np.ndarray:
+    """A mask with its ink grown by two places in every direction, at the size of the raster."""
+    ink = np.pad(black, 2)
+    for axis in (0, 1):
+        n = black.shape[axis]
+        ink = np.logical_or.reduce([np.take(ink, range(k, k + n), axis=axis) for k in range(5)])
+    at = [((np.arange(RASTER) + 0.5) * n / RASTER).astype(int) for n in black.shape]
+    return ink[np.ix_(*at)]
+
+
+def outline_symbols(pictures: Sequence[np.ndarray]) -> list[str | None]:
+    """ARR-04, ARR-05: ``○`` or ``□`` for each picture (0 and 255) whose ink encloses background, else None.
+
+    All pictures of a batch are judged at once: background that is connected with the border is found by growing it from
+    there until it stays as it is, the rest is the hole; the ink in the corners of the outline tells a square.
     """
-    for _ in range(2):
-        p = np.pad(a, 1, mode="edge")
-        a = np.min([p[i : i + a.shape[0], j : j + a.shape[1]] for i in range(3) for j in range(3)], axis=0)
-    ys = ((np.arange(64) + 0.5) * a.shape[0] / 64).astype(int)
-    xs = ((np.arange(64) + 0.5) * a.shape[1] / 64).astype(int)
-    black = a[np.ix_(ys, xs)] == 0
-    if not black.any():
-        return None
-    outside = np.zeros_like(black)
-    todo = deque((y, x) for y in range(64) for x in range(64) if (y in (0, 63) or x in (0, 63)) and not black[y, x])
-    for y, x in todo:
-        outside[y, x] = True
-    while todo:
-        y, x = todo.popleft()
-        for v, u in ((y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)):
-            if 0 <= v < 64 and 0 <= u < 64 and not black[v, u] and not outside[v, u]:
-                outside[v, u] = True
-                todo.append((v, u))
-    if int((~black & ~outside).sum()) < least_hole:
-        return None
-    yy, xx = np.nonzero(black)
-    y0, y1, x0, x1 = yy.min(), yy.max(), xx.min(), xx.max()
-    patch = max(2, round(min(x1 - x0 + 1, y1 - y0 + 1) * 0.18))
-    tops, lefts = (y0, max(0, y1 - patch + 1)), (x0, max(0, x1 - patch + 1))
-    corner = np.mean([black[t : t + patch, u : u + patch].mean() for t in tops for u in lefts])
-    return "□" if corner >= least_corner else "○"
+    if not len(pictures):
+        return []
+    ink = np.stack([_raster(np.asarray(a) == 0) for a in pictures])
+    outer = np.zeros_like(ink)
+    outer[:, [0, -1], :] = outer[:, :, [0, -1]] = True
+    outer &= ~ink
+    while True:
+        grown = _spread(outer) & ~ink
+        if (grown == outer).all():
+            break
+        outer = grown
+    hole = (~ink & ~outer).sum(axis=(1, 2))
+    # ink of every rectangle from its corner sums
+    total = np.zeros((len(ink), RASTER + 1, RASTER + 1), np.int64)
+    total[:, 1:, 1:] = ink.cumsum(axis=1).cumsum(axis=2)
+    ends = lambda m: (m.argmax(axis=1), RASTER - 1 - m[:, ::-1].argmax(axis=1))
+    (top, bottom), (left, right) = ends(ink.any(axis=2)), ends(ink.any(axis=1))
+    side = np.maximum(2, np.rint(np.minimum(right - left + 1, bottom - top + 1) * CORNER).astype(int))
+    density, n = np.zeros(len(ink)), np.arange(len(ink))
+    for y in (top, np.maximum(0, bottom - side + 1)):
+        for x in (left, np.maximum(0, right - side + 1)):
+            v, u = np.minimum(y + side, RASTER), np.minimum(x + side, RASTER)
+            density += (total[n, v, u] - total[n, y, u] - total[n, v, x] + total[n, y, x]) / ((v - y) * (u - x)) / 4
+    return [None if a < LEAST_HOLE or not b else "□" if c >= LEAST_CORNER else "○" for a, b, c in zip(hole, ink.any(axis=(1, 2)), density)]
 
 
 def filtered(a: np.ndarray, kind: str, size: int = 3, percent: int = 120, threshold: int = 3) -> np.ndarray:
-    """ARR-05: minimum and median filters over squares, and an unsharp mask over the mean of a square; edges are repeated."""
+    """ARR-05: minimum and median filters over squares, an unsharp mask over the mean of a square, and a sharpening by a
+    factor of ``percent``; edges are repeated."""
     h = size // 2
     p = np.pad(a.astype(float), h, mode="edge")
     stack = np.stack([p[i : i + a.shape[0], j : j + a.shape[1]] for i in range(size) for j in range(size)])
@@ -153,6 +179,11 @@ def filtered(a: np.ndarray, kind: str, size: int = 3, percent: int = 120, thresh
     if kind == "unsharp":
         d = a - stack.mean(0)
         return np.clip(np.where(np.abs(d) >= threshold, a + d * percent / 100, a), 0, 255).astype(a.dtype)
+    if kind == "sharpen":  # away from a smoothed picture whose centre weighs five times its neighbours
+        weight = np.ones(size * size)
+        weight[len(weight) // 2] = 5
+        smooth = np.tensordot(weight / weight.sum(), stack, 1)
+        return np.clip(np.rint(smooth + (a - smooth) * percent / 100), 0, 255).astype(a.dtype)
     raise ValueError(f"unknown filter: {kind}")
 
 
@@ -162,20 +193,36 @@ def symbols(crops: DataFrame, keys: Sequence[str], threshold: int = 235, min_bla
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for w, h, px in zip(pdf["width"], pdf["height"], pdf["pixels"]):
-                a = np.asarray(px, dtype=float).reshape(h, w) if px is not None and len(px) == w * h and w * h else None
-                if a is None:
-                    out.append(None)
+            out: list[str | None] = [None] * len(pdf)
+            some = {}
+            for k, (w, h, px) in enumerate(zip(pdf["width"], pdf["height"], pdf["pixels"])):
+                if px is None or not len(px) or len(px) != w * h:
                     continue
+                a = np.asarray(px, dtype=float).reshape(h, w)
                 lo, hi = a.min(), a.max()
                 a = np.floor((a - lo) * 255 / (hi - lo)) if hi > lo else a
-                out.append(outline_symbol(np.where(a < threshold, 0, 255)) if _ratio(np.where(a < 210, 0, 255)) >= min_black else None)
+                if (a < 210).mean() >= min_black:
+                    some[k] = np.where(a < threshold, 0, 255)
+            for k, symbol in zip(some, outline_symbols(list(some.values()))):
+                out[k] = symbol
             yield pdf[list(keys)].assign(symbol=out)
 
     return crops.select(*keys, "width", "height", "pixels").mapInPandas(run, ", ".join(f"`{k}` {types[k]}" for k in keys) + ", symbol string")
 
 
+def filtered_pixels(pictures: DataFrame, keys: Sequence[str], kind: str, size: int = 3) -> DataFrame:
+    """ARR-05 on rows of ``width``, ``height`` and ``pixels`` (grey, row by row); pictures of another size than said are null."""
+    types = dict(pictures.dtypes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [filtered(np.asarray(px).reshape(h, w), kind, size).ravel() if px is not None and len(px) and len(px) == w * h else None for w, h, px in zip(pdf["width"], pdf["height"], pdf["pixels"])]
+            yield pdf[[*keys, "width", "height"]].assign(pixels=out)
+
+    head = ", ".join(f"`{k}` {types[k]}" for k in (*keys, "width", "height"))
+    return pictures.select(*keys, "width", "height", "pixels").mapInPandas(run, f"{head}, pixels array<int>")
+
+
 def fill_empty_cells(cells: DataFrame, found: DataFrame, keys: Sequence[str]) -> DataFrame:
     """JON-08: empty cells get the symbol found at their place."""
     return cells.join(found.select(*keys, "symbol"), list(keys), "left").withColumn("text", F.when(F.trim(F.coalesce("text", F.lit(""))) == "", F.coalesce("symbol", "text")).otherwise(F.col("text"))).drop("symbol")

@@ -39,8 +39,10 @@ def sections(pages: DataFrame, keys: Sequence[str] = ("doc_id",), headings: bool
 
     A document is its sections in the order of ``page``. It is written section by section, never put together in memory.
     """
-    first = F.row_number().over(Window.partitionBy(*keys).orderBy("page")) == 1
-    heading = F.concat(F.when(first, "").otherwise("\n"), F.lit("# Page "), F.col("page").cast("string"), F.lit("\n\n")) if headings else F.lit("")
+    # the first page is found by an aggregate, which combines before it shuffles: no folder is sorted by one task
+    lead = pages.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.min("page").alias("__first"))
+    pages = pages.join(lead, [pages[k].eqNullSafe(lead[f"__k{i}"]) for i, k in enumerate(keys)])
+    heading = F.concat(F.when(F.col("page").eqNullSafe(F.col("__first")), "").otherwise("\n"), F.lit("# Page "), F.col("page").cast("string"), F.lit("\n\n")) if headings else F.lit("")
     return pages.select(*keys, "page", F.concat(heading, F.col("text"), F.lit("\n\n")).alias("section"))
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.cells import file_name, is_blank, is_symbol, sheet_title, typed_value
 from ..functions.text import plain_text, strip
 from ..session import materialize
+from .ranks import numbered
 
 KEYS = ("doc_id", "page", "table_no")
 
@@ -157,14 +158,13 @@ def segments(cells: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 def unique_names(df: DataFrame, group: Sequence[str], order: Sequence[str], base: str, out: str, max_len: int) -> DataFrame:
     """WIN-12: names that are unique within a group, in order: the first keeps its name, the next get ``_2``, ``_3``, ...
 
-    The suffix is the row number among equal names: a window that sorts and spills, whatever the size of the group. Only
+    The suffix is the row number among equal names, however many there are (``ranks.numbered``). Only
     families of names (what they are without such suffixes) in which a suffixed name meets a name that was there, or
     gets too long, are gone through one by one.
     """
     stem = F.left(F.regexp_replace(F.col(base), r"(?:_[0-9]+)+$", ""), F.lit(max(1, max_len - 12)))
-    n = F.row_number().over(Window.partitionBy(*group, base).orderBy(*order))
     made = F.when(F.col("__n") == 1, F.col(base)).otherwise(F.concat_ws("_", F.col(base), F.col("__n").cast("string")))
-    at = df.withColumn("__family", stem).withColumn("__n", n).withColumn(out, made)
+    at = numbered(df.withColumn("__family", stem), [*group, base], order, "__n").withColumn(out, made)
     keys = [*group, "__family"]
     clash = at.groupBy(*keys, out).agg(F.count(F.lit(1)).alias("__c")).where((F.col("__c") > 1) | (F.length(out) > max_len)).select(*keys).distinct().withColumn("__odd", F.lit(True))
     at = at.join(clash, keys, "left")
@@ -195,7 +195,7 @@ def sheets(cells: DataFrame, prefix: str = "sheet", keys: Sequence[str] = KEYS)
     doc, order = [keys[0]], [*keys[1:], "segment"]
     fallback = F.concat(F.lit(prefix + "_"), F.col("segment_no").cast("string"))
     name = F.when(F.col("name") == "", fallback).otherwise(F.col("name"))
-    n = s.select(*keys, "segment", "name").withColumn("segment_no", F.row_number().over(Window.partitionBy(*doc).orderBy(*order)))
+    n = numbered(s.select(*keys, "segment", "name"), doc, order, "segment_no")
     n = n.select(*keys, "segment", "segment_no", sheet_title(name, fallback).alias("__sheet"), F.concat(F.col(keys[0]), F.lit("__"), file_name(name, fallback)).alias("__file"))
     # names are made on a narrow table of their own, which is read several times
     n = unique_names(materialize(n, "names"), doc, ["segment_no"], "__sheet", "sheet", 31)

@@ -117,10 +117,10 @@ def images_at_headings(blocks: DataFrame, snippets: DataFrame, keys: Sequence[st
     return blocks.where("kind = 'page'").withColumn("page", page).join(per, [*keys, "page"], "left")
 
 
-def convert(spark: SparkSession, folders: str, out: str, formats: Sequence[str] = ("md",), excel_mode: str = "table", overwrite: bool = False) -> dict[str, str]:
+def convert(spark: SparkSession, folders: str, out: str, formats: Sequence[str] = ("md",), excel_mode: str = "table", overwrite: bool = False, layouts: str | None = None) -> dict[str, str]:
     """ORC-01: all wanted outputs of the folders that ``folders`` (a path or glob) names. Gives the paths by kind.
 
-    Folders without layout JSON, and documents without tables, get their text instead of tables (JON-09).
+    ``layouts`` is the place of the layout JSON inside a folder, as the recogniser names it. Folders without, and documents without tables, get their text instead of tables (JON-09).
     """
     done: dict[str, str] = {}
     files = S.read_pages(spark, f"{folders}/*.md")
@@ -133,14 +133,16 @@ def convert(spark: SparkSession, folders: str, out: str, formats: Sequence[str]
     lines = L.explode_lines(MG.sections(pages).withColumnRenamed("section", "text"), "doc_id", "page")
     if "docx" in formats:
         stream = L.blocks(lines, ["doc_id", "page"]).withColumn("block", F.struct("page", "block"))
-        _write_office(office.documents(stream).select(F.concat("doc_id", F.lit(".docx")).alias("file"), "content"), f"{out}/docx")
+        volume = F.when(F.col("volume") == 1, "").otherwise(F.concat(F.lit("_"), F.col("volume").cast("string")))
+        _write_office(office.documents(stream).select(F.concat("doc_id", volume, F.lit(".docx")).alias("file"), "content"), f"{out}/docx")
         done["docx"] = f"{out}/docx"
     if {"csv", "xlsx"} & set(formats):
-        try:
-            layouts = S.read_layouts(spark, f"{folders}/*/json/*.json")
-            cells = S.layout_cells(layouts)
-        except AnalysisException:  # no layout at all
-            cells = spark.createDataFrame([], S.CELLS)
+        cells = spark.createDataFrame([], S.CELLS)
+        if layouts:
+            try:
+                cells = S.layout_cells(S.read_layouts(spark, f"{folders}/{layouts}/*.json", layouts))
+            except AnalysisException:  # no layout at all
+                pass
         plain = L.explode_lines(pages.select("doc_id", "page", F.col("text")), "doc_id", "page")
         paragraphs = L.paragraphs(plain, ["doc_id", "page"])
         paragraphs = MG.tables_or_text(cells, paragraphs).withColumn("paragraph", (F.col("page") * 1_000_000 + F.col("paragraph")).cast("bigint"))
@@ -175,10 +177,11 @@ def main(argv: Sequence[str]) -> dict[str, str]:
     p.add_argument("--output", required=True)
     p.add_argument("--formats", nargs="+", default=["md"], choices=["md", "csv", "xlsx", "docx"])
     p.add_argument("--excel-mode", default="table", choices=["table", "layout"])
+    p.add_argument("--layouts", help="where in a folder its layout JSON is; tables need it")
     p.add_argument("--overwrite", action="store_true")
     a = p.parse_args(own)
     from ..session import session
 
     if extra:
         print("for the recogniser:", *extra)
-    return convert(session(), a.input, a.output, a.formats, a.excel_mode, a.overwrite)
+    return convert(session(), a.input, a.output, a.formats, a.excel_mode, a.overwrite, a.layouts)

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from ..operators.ranks import numbered
+
 _HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
 _MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 _REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
@@ -150,16 +152,22 @@ def workbooks(files: DataFrame, file: str = "file") -> DataFrame:
     return files.select(file, F.col("sheets").cast(SHEETS).alias("sheets")).mapInArrow(run, f"`{file}` string, content binary")
 
 
-def documents(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, content): documents from block streams (``block``, ``kind``, ``level``, ``text``)."""
-    per = blocks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("block", "kind", "level", "text"))).alias("b"))
+def documents(blocks: DataFrame, key: str = "doc_id", per_volume: int = 20_000) -> DataFrame:
+    """(key, volume, content): documents from block streams (``block``, ``kind``, ``level``, ``text``).
+
+    A document of more than ``per_volume`` blocks becomes several volumes, numbered from 1, so that none has to fit into
+    one task.
+    """
+    at = numbered(blocks.select(key, "block"), [key], ["block"], "__n").select(F.col(key).alias("__key"), F.col("block").alias("__block"), (F.floor((F.col("__n") - 1) / per_volume) + 1).cast("int").alias("volume"))
+    placed = blocks.join(at, blocks[key].eqNullSafe(at["__key"]) & (blocks["block"] == at["__block"]))
+    per = placed.groupBy(key, "volume").agg(F.array_sort(F.collect_list(F.struct("block", "kind", "level", "text"))).alias("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [document((x["kind"], x["level"], x["text"]) for x in bs) for bs in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], names=[key, "content"])
+            made = [document((x["kind"], x["level"], x["text"]) for x in bs) for bs in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.binary())], names=[key, "volume", "content"])
 
-    return per.select(key, "b").mapInArrow(run, f"`{key}` {blocks.schema[key].dataType.simpleString()}, content binary")
+    return per.select(key, "volume", "b").mapInArrow(run, f"`{key}` {blocks.schema[key].dataType.simpleString()}, volume int, content binary")
 
 
 class OfficeFiles(DataSource):

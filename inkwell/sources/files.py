@@ -67,13 +67,15 @@ def spark_layout_schema() -> str:
     return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in s.fields if f.name != "layout_id")
 
 
-def read_layouts(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-04: layout JSON of pages; files without a page number are left out, damaged ones have null arrays."""
+def read_layouts(spark: SparkSession, path: str, inside: str | None = None) -> DataFrame:
+    """SRC-04, SRT-04: layout JSON of pages in the order of their names; files without a page number are left out, damaged
+    ones have null arrays. ``inside`` is the place of the files in their result folder, whose name is the document's."""
     raw = spark.read.schema(spark_layout_schema()).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
     meta = raw.select("*", F.col("_metadata.file_path").alias("path"))
     name = F.element_at(F.split("path", "/"), -1)
     out = meta.where(name.rlike(JSON_PAGE))
-    folder = F.coalesce(F.nullif(F.regexp_extract("path", r"([^/]+)/[^/]+/json/[^/]+$", 1), F.lit("")), F.element_at(F.split("path", "/"), -2))
+    up = -2 - len([p for p in (inside or "").split("/") if p])
+    folder = F.element_at(F.split("path", "/"), up)
     return out.withColumn("doc_id", folder).withColumn("page", F.regexp_extract(name, JSON_PAGE, 1).cast("int")).orderBy("path")
 
 

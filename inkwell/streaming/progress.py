@@ -14,11 +14,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Shapes of log lines of the two writers, and what the stages after recognition stand for.
+# Shapes of log lines of the two writers, and how far a job is when recognition ends and at most.
 RANGE = r"^処理範囲:\s*(\d+)\s*〜\s*(\d+)"
 PAGE = r"^--- Page (\d+)/(\d+)|^reading page (\d+) of (\d+)"
 DONE = r"^--- Done (\d+)/(\d+)|^layout done: (\d+)/(\d+)|^page (\d+)/(\d+) written"
-STAGES = ((" を実行 ---", 92.0), ("Converting to docx", 96.0), ("processing excel", 99.0))
 RECOGNITION, MOST, WINDOW = 90.0, 99.0, 5
 
 
@@ -27,11 +26,18 @@ def _number(line: Column, pattern: str, *groups: int) -> Column:
     return F.coalesce(*found).cast("int")
 
 
-def events(log: DataFrame, line: str = "line") -> DataFrame:
-    """STR-02: adds what a line says: ``event`` (range, page, done, stage or null), ``current``, ``total``, ``stage``."""
+#: (mark, progress): a line that contains the mark enters a stage behind recognition. The first mark of the list counts.
+Stages = Sequence[tuple[str, float]]
+
+
+def events(log: DataFrame, line: str = "line", stages: Stages = ()) -> DataFrame:
+    """STR-02: adds what a line says: ``event`` (range, page, done, stage or null), ``current``, ``total``, ``stage``.
+
+    The marks of the ``stages`` are the caller's: the exact strings that the programs behind recognition write.
+    """
     x = F.col(line)
     stage = F.lit(None).cast("double")
-    for mark, value in reversed(STAGES):
+    for mark, value in reversed(list(stages)):
         stage = F.when(x.contains(mark), value).otherwise(stage)
     event = F.when(x.rlike(RANGE), "range").when(x.rlike(PAGE), "page").when(x.rlike(DONE), "done").when(stage.isNotNull(), "stage")
     current = F.coalesce(_number(x, RANGE, 1), _number(x, PAGE, 1, 3), _number(x, DONE, 1, 3, 5))
@@ -39,9 +45,9 @@ def events(log: DataFrame, line: str = "line") -> DataFrame:
     return log.withColumn("event", event).withColumn("current", current).withColumn("total", total).withColumn("stage", stage)
 
 
-def progress(log: DataFrame, keys: Sequence[str] = ("job_id",), order: Sequence[str] = ("seq",), ts: str = "ts") -> DataFrame:
+def progress(log: DataFrame, keys: Sequence[str] = ("job_id",), order: Sequence[str] = ("seq",), ts: str = "ts", stages: Stages = ()) -> DataFrame:
     """TYP-10, AGG-17 in batch: per line that ends a page or enters a stage, the progress so far and the seconds left."""
-    e = events(log).dropDuplicates([*keys, *order]).where("event in ('page', 'done', 'stage')")
+    e = events(log, stages=stages).dropDuplicates([*keys, *order]).where("event in ('page', 'done', 'stage')")
     w = Window.partitionBy(*keys).orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     started = F.when(F.lag("event").over(w) == "page", F.lag(F.col(ts)).over(w))
@@ -49,12 +55,12 @@ def progress(log: DataFrame, keys: Sequence[str] = ("job_id",), order: Sequence[
     e = e.withColumn("__secs", F.when(secs > 0, secs)).where("event <> 'page'")
     reached = F.when(F.col("event") == "done", F.least(F.lit(MOST), RECOGNITION * F.least(F.col("current"), F.col("total")) / F.greatest(F.col("total"), F.lit(1)))).otherwise(F.col("stage"))
     e = e.withColumn("progress", F.max(reached).over(upto))
-    timed = e.withColumn("__n", F.sum(F.col("__secs").isNotNull().cast("int")).over(upto))
-    last = F.filter(F.collect_list("__secs").over(upto), lambda x: x.isNotNull())
-    recent = F.slice(last, F.greatest(F.size(last) - WINDOW + 1, F.lit(1)), WINDOW)
-    mean = F.when(F.size(recent) > 0, F.aggregate(recent, F.lit(0.0), lambda a, x: a + x) / F.size(recent))
+    # the mean of the last page times over a frame of that many rows, carried to the lines that have none
+    timed = Window.partitionBy(*keys, F.col("__secs").isNotNull()).orderBy(*order).rowsBetween(1 - WINDOW, 0)
+    e = e.withColumn("__mean", F.when(F.col("__secs").isNotNull(), F.avg("__secs").over(timed)))
+    mean = F.last("__mean", ignorenulls=True).over(upto)
     left = F.greatest(F.col("total") - F.col("current"), F.lit(0))
-    return timed.select(*keys, *order, "event", "current", "total", "progress", F.when((F.col("event") == "done") & (left > 0), F.round(mean * left).cast("bigint")).alias("eta_seconds"))
+    return e.select(*keys, *order, "event", "current", "total", "progress", F.when((F.col("event") == "done") & (left > 0), F.round(mean * left).cast("bigint")).alias("eta_seconds"))
 
 
 STATE = "progress double, current int, total int, started double, secs array<double>, last_seq bigint"
@@ -84,15 +90,27 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.
     yield pd.DataFrame({"job_id": [key[0]], "progress": [prog], "current": [cur], "total": [tot], "eta_seconds": [eta], "lines": [n]})
 
 
-def progress_stream(log: DataFrame) -> DataFrame:
+def progress_stream(log: DataFrame, stages: Stages = ()) -> DataFrame:
     """STR-01: the state of each job after each micro-batch, from a stream of ``job_id``, ``seq``, ``ts``, ``line``.
 
     State is a handful of values per job: the five last page times, not the log.
     """
-    e = events(log).select("job_id", "seq", "ts", "event", "current", "total", "stage").where("job_id is not null and seq is not null")
+    e = events(log, stages=stages).select("job_id", "seq", "ts", "event", "current", "total", "stage").where("job_id is not null and seq is not null")
     return e.groupBy("job_id").applyInPandasWithState(_advance, OUTPUT, STATE, "update", "NoTimeout")
 
 
+def snapshot(states: DataFrame, keys: Sequence[str] = ("job_id",), version: str = "batch") -> DataFrame:
+    """STR-06: the state of every job as of the last micro-batch that touched it, as one consistent table."""
+    rest = [c for c in states.columns if c not in (*keys, version)]
+    return states.groupBy(*keys).agg(F.max_by(F.struct(*rest), version).alias("__s")).select(*keys, *[F.col(f"__s.{c}").alias(c) for c in rest])
+
+
+def log_since(log: DataFrame, cursor: int, keys: Sequence[str] = ("job_id",), order: str = "seq") -> DataFrame:
+    """STR-04: the lines behind a reader's cursor, and the cursor to ask with next time."""
+    new = log.where(F.col(order) > cursor)
+    return new.withColumn("next_cursor", F.max(order).over(Window.partitionBy(*keys)))
+
+
 def merged_log(out: DataFrame, err: DataFrame) -> DataFrame:
     """STR-03: both outputs of a job as one log, errors marked."""
     return out.unionByName(err.withColumn("line", F.concat(F.lit("[err] "), "line")))

@@ -135,9 +135,18 @@ def test_outlines():
     y, x = np.mgrid[:400, :400] - 200
     ring = np.where(np.abs(np.hypot(y, x) - 180) < 2, 0, 255)
     square = np.where(np.abs(np.maximum(abs(y), abs(x)) - 150) < 2, 0, 255)
-    assert FG.outline_symbol(ring) == "○" and FG.outline_symbol(square) == "□"
-    assert FG.outline_symbol(np.full((20, 20), 255)) is None and FG.outline_symbol(np.where(y == 0, 0, 255)) is None
-    assert not FG.looks_like_ring(np.full((20, 20), 255))
+    assert FG.outline_symbols([ring, square, np.full((20, 20), 255), np.where(y == 0, 0, 255)]) == ["○", "□", None, None]
+    assert FG.outline_symbols([]) == []
+
+
+def test_rings(spark):
+    y, x = np.mgrid[:40, :40]
+    ring = np.where(np.abs(np.hypot(y - 19.5, x - 19.5) - 17) < 1, 0, 255)
+    pics = {0: ring, 1: np.full((20, 20), 255), 2: np.where(x[:20, :20] < 4, 0, 255), 3: ring[:6, :6]}
+    rows = [(k, a.shape[1], a.shape[0], int(j), int(i), int(a[i, j])) for k, a in pics.items() for i in range(a.shape[0]) for j in range(a.shape[1])]
+    got = {r.k: r for r in FG.ring_measures(spark.createDataFrame(rows, "k int, width int, height int, x int, y int, v int"), ["k"]).collect()}
+    assert [got[k].ring for k in range(4)] == [True, False, False, False]
+    assert got[2].left == 0.4 and got[2].right == 0 and got[2].ink == 0.2
 
 
 def test_tone_curves(spark):
@@ -169,6 +178,7 @@ def test_geometry(spark):
 
 
 T0 = dt.datetime(2024, 1, 1)
+STAGES = [("--- merge を実行 ---", 92.0)]
 LOG = [("j", 0, 0, "処理範囲: 1〜4"), ("j", 1, 1, "--- Page 1/4 (abs 1/9) ---"), ("j", 2, 11, "--- Done 1/4 ---"), ("j", 3, 12, "--- Page 2/4 ---"), ("j", 4, 32, "--- Done 2/4 ---"), ("j", 4, 32, "--- Done 2/4 ---"), ("j", 5, 40, "--- Done 1/4 ---"), ("j", 6, 41, "--- merge を実行 ---"), ("j", 7, None, None), ("k", 0, 0, "")]
 
 
@@ -177,14 +187,14 @@ def log(spark):
 
 
 def test_progress(spark):
-    got = [(r.seq, r.progress, r.eta_seconds) for r in P.progress(log(spark)).orderBy("job_id", "seq").collect()]
+    got = [(r.seq, r.progress, r.eta_seconds) for r in P.progress(log(spark), stages=STAGES).orderBy("job_id", "seq").collect()]
     assert got == [(2, 22.5, 30), (4, 45.0, 30), (5, 45.0, 45), (6, 92.0, None)]
 
 
 def test_progress_stream(spark, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     log(spark).where("seq <= 3").coalesce(1).write.parquet(src)
-    stream = P.progress_stream(spark.readStream.schema(log(spark).schema).parquet(src))
+    stream = P.progress_stream(spark.readStream.schema(log(spark).schema).parquet(src), STAGES)
 
     def run():
         q = stream.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).foreachBatch(lambda b, k: b.write.mode("append").parquet(out)).start()

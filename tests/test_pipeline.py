@@ -36,7 +36,7 @@ def test_convert(spark, tmp_path):
     src = folders(tmp_path)
     for mode in ("table", "layout"):
         out = tmp_path / mode
-        done = P.convert(spark, src, str(out), ("md", "csv", "xlsx", "docx"), mode)
+        done = P.convert(spark, src, str(out), ("md", "csv", "xlsx", "docx"), mode, layouts="formats/json")
         assert set(done) == {"md", "review", "csv", "xlsx", "docx"}
         md = "".join(f.read_text() for f in sorted((out / "md" / "doc_id=a").glob("*.txt")))
         assert md == "# Page 1\n\n# H\ntext x と\n\n\n# Page 2\n\n|k|v|\n|---|---|\n|1|2|\n\n"

@@ -133,3 +133,26 @@ def test_plain_text_of_plain_text(spark, texts):
     once = apply(spark, T.plain_text, texts)
     assert apply(spark, T.plain_text, once) == once
     assert once == [re.sub(r"\n{3,}", "\n\n", "\n".join(t.splitlines())).strip() for t in texts]
+
+
+@pytest.mark.parametrize("deep", [1, 7, 20])
+def test_delimiters_of_any_depth(spark, deep):
+    """As the loops that run until nothing changes any more."""
+
+    def loop(text, rules):
+        before = None
+        while before != text:
+            before = text
+            for p in rules:
+                text = re.sub(p, lambda m: m.group(1).strip(), text)
+        return text
+
+    nested = "\\(" * deep + " x " + "\\)" * deep + " $$ $a" * deep + "$ $$" * deep
+    math = [r"\$\$([\s\S]+?)\$\$", r"\\\(([\s\S]+?)\\\)", r"\\\[([\s\S]+?)\\\]", r"\$([^$]+)\$"]
+    got = spark.createDataFrame([(nested,)], "t string").select(T.math_delimiters(F.col("t")).alias("a"), T.strip_tex(F.col("t")).alias("b")).first()
+    assert got.a == loop(nested, math)
+    inner = re.sub(math[0], lambda m: m.group(1).strip(), nested.replace("\\(", "").replace("\\)", ""))
+    before = None
+    while before != inner:
+        before, inner = inner, re.sub(r"\$([^$]+)\$", lambda m: m.group(1), inner)
+    assert got.b == inner
