@@ -4,15 +4,19 @@ The listing is frozen as a manifest (one narrow row per distinct record, with si
 is bin-packed by first-fit decreasing, every bin is rewritten as one file, the rewritten files are read back and
 held against the manifest's row counts and checksums, and only then does one rename make them visible.
 
-Packing runs in parallel: records are hashed into groups of at most ``bins_per_group`` bins' worth of bytes, and
-each group is packed on its own, so that at most one bin a group stays less than half full. No list of files is
-collected to the driver, and one folder that holds a third of all files is spread over all groups.
+Records are hashed by ``file_id`` into groups, sized by bytes and by rows, so that neither many bytes nor many empty texts
+meet in one task, and a folder or record that holds a third of all files is spread over all groups. Each group is packed on its
+own: at most one bin a group stays less than half full. The texts are shuffled once, by the same hash, so that a group's
+bins lie together; there they are sorted by bin, and each bin flows into a file of its own, all files in one folder, with
+their names in a table beside it. A file that a lost or repeated task left behind is in no such table, and is deleted
+before the rename.
 
 Results for odd input:
   * rows without a path are each their own record; names without a page number are no page parts and are left out;
   * null and empty texts are kept as they are (and are different records); line ends (CRLF, CR, LF, and one or more at
     the very end) do not make a difference, and the row with the lowest ``file_id`` is the one that is kept, unchanged;
   * a record larger than the target gets a bin of its own;
+  * a ``file_id`` that is listed more than once counts as one record, that of its shortest text, and one of its rows with that text is kept;
   * an empty listing gives an empty, committed result;
   * other columns are carried along, whatever their names (a column named like one of ours, ``bin`` or starting with
     ``__``, is not).
@@ -25,8 +29,11 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize, shared_dir
@@ -81,18 +88,29 @@ def first_fit_decreasing(sizes: np.ndarray, target: int) -> np.ndarray:
     return bins
 
 
-def pack(manifest: DataFrame, target: int, bins_per_group: int = 16) -> DataFrame:
-    """Adds ``bin`` to a manifest of ``file_id`` and ``bytes``."""
-    total = manifest.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("b")).first()["b"]
-    groups = max(1, -(-int(total) // (target * bins_per_group)))
+#: Bytes of the smallest and the largest target, and files that a listing becomes at least, if it is large enough.
+SMALLEST, LARGEST, LEAST_FILES = 64 << 10, 64 << 20, 32
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("file_id", kind="stable")
-        g = pdf["__group"].iloc[0]
-        return pdf.assign(bin=[f"{g:06d}-{b:04d}" for b in first_fit_decreasing(pdf["bytes"].to_numpy(np.int64), target)]).drop(columns="__group")
 
-    grouped = manifest.withColumn("__group", F.pmod(F.xxhash64("file_id"), F.lit(groups)).cast("int"))
-    return grouped.groupBy("__group").applyInPandas(one, "file_id bigint, bytes bigint, sum bigint, bin string")
+def target_for(total: int) -> int:
+    """Bytes of text of a well-sized file: as large as ``LARGEST``, but enough files that they can be read in parallel."""
+    return max(SMALLEST, min(LARGEST, total // LEAST_FILES))
+
+
+def pack(manifest: DataFrame, target: int, bins_per_group: int = 4, rows_per_group: int = 100_000) -> tuple[DataFrame, int]:
+    """Adds ``bin`` to a manifest of ``file_id``, ``bytes`` and ``sum``; and the number of groups."""
+    total = manifest.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("n")).first()
+    groups = max(1, -(-int(total["b"]) // (target * bins_per_group)), -(-total["n"] // rows_per_group))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
+        if table is not None and table.num_rows:
+            table = table.sort_by("file_id")
+            names = [f"{g:06d}-{b:05d}" for g, b in zip(table["group"].to_pylist(), first_fit_decreasing(table["bytes"].to_numpy(), target))]
+            yield from table.drop_columns("group").append_column("bin", pa.array(names, pa.string())).combine_chunks().to_batches()
+
+    grouped = manifest.select("file_id", "bytes", "sum").repartition(groups, "file_id").withColumn("group", F.spark_partition_id())
+    return grouped.mapInArrow(run, "file_id bigint, bytes bigint, sum bigint, bin string"), groups
 
 
 def manifest_of(files: DataFrame) -> DataFrame:
@@ -101,58 +119,121 @@ def manifest_of(files: DataFrame) -> DataFrame:
     return narrow.groupBy("__record").agg(F.min(F.struct("file_id", "bytes", "sum")).alias("f")).select("f.file_id", "f.bytes", "f.sum")
 
 
+def _fs(spark: SparkSession, path: str):  # noqa: ANN202
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def _rename(spark: SparkSession, src: str, dst: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(src)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    q = jvm.org.apache.hadoop.fs.Path(dst)
+    (p, fs), (q, _) = _fs(spark, src), _fs(spark, dst)
     fs.mkdirs(q.getParent())
     if fs.exists(q) or not fs.rename(p, q):
         raise RuntimeError(f"could not commit {dst}")
 
 
 def _delete(spark: SparkSession, path: str) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    p, fs = _fs(spark, path)
+    fs.delete(p, True)
 
 
 def verify(written: DataFrame, manifest: DataFrame) -> int:
     """Row counts and checksums of every bin against the manifest. Gives the rows; raises where anything differs."""
     per = lambda d, s: d.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.sum(F.hash("file_id", s).cast("bigint")).alias("s"))
     a, b = per(manifest, F.col("sum")).alias("a"), per(written, text_sum(F.col("text"))).alias("b")
-    off = a.join(b, "bin", "full_outer").where(~(F.col("a.n").eqNullSafe(F.col("b.n")) & F.col("a.s").eqNullSafe(F.col("b.s"))))
-    bad = off.select("bin").limit(5).collect()
-    if bad:
-        raise ValueError(f"rewritten bins differ from the manifest: {[r.bin for r in bad]}")
-    return manifest.count()
-
-
-def compact(files: DataFrame, out: str | None = None, target: int = 64 << 20, bins_per_group: int = 16) -> DataFrame:
+    both = a.join(b, "bin", "full_outer").withColumn("off", ~(F.col("a.n").eqNullSafe(F.col("b.n")) & F.col("a.s").eqNullSafe(F.col("b.s"))))
+    r = both.agg(F.coalesce(F.sum("a.n"), F.lit(0)).alias("rows"), F.min(F.when(F.col("off"), F.col("bin"))).alias("bad")).first()
+    if r["bad"] is not None:
+        raise ValueError(f"rewritten bins differ from the manifest: {r['bad']} and perhaps others")
+    return r["rows"]
+
+
+def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (pafs.LocalFileSystem(), path)
+
+
+def write_bins(rows: DataFrame, folder: str) -> DataFrame:
+    """Write rows that come sorted by ``bin`` within their partitions, a file for each bin: (bin, file, rows)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, at = _filesystem(folder)
+        fs.create_dir(at, recursive=True)
+        done: list[tuple[str, str, int]] = []
+        writer, name, now, n = None, "", None, 0
+        for b in batches:
+            bins = b.column("bin")
+            ends = [0, *(np.flatnonzero(np.asarray(pc.not_equal(bins.slice(1), bins.slice(0, len(bins) - 1)))) + 1).tolist(), len(bins)] if len(bins) else [0]
+            for lo, hi in zip(ends, ends[1:]):
+                this = bins[lo].as_py()
+                if this != now:
+                    if writer:
+                        writer.close()
+                        done.append((now, name, n))
+                    now, n, name = this, 0, f"part-{this}-{uuid.uuid4().hex}.parquet"
+                    writer = pq.ParquetWriter(f"{at}/{name}", b.schema, filesystem=fs)
+                writer.write_batch(b.slice(lo, hi - lo))
+                n += hi - lo
+        if writer:
+            writer.close()
+            done.append((now, name, n))
+        cols = list(zip(*done)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64()))], names=["bin", "file", "rows"])
+
+    return rows.mapInArrow(run, "bin string, file string, rows bigint")
+
+
+def _drop_strays(spark: SparkSession, folder: str, files: DataFrame, n: int) -> None:
+    """Delete files that no finished task reported; one look at their number tells whether there are any."""
+    p, fs = _fs(spark, folder)
+    if not fs.exists(p) or fs.getContentSummary(p).getFileCount() == n:
+        return
+    there = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"))
+    for r in there.join(files, "file", "left_anti").toLocalIterator():
+        _delete(spark, f"{folder}/{r.file}")
+
+
+def compact(files: DataFrame, out: str | None = None, target: int | None = None, bins_per_group: int = 4, rows_per_group: int = 100_000) -> DataFrame:
     """Rewrite the page files of a listing into files of about ``target`` bytes of text; gives the committed table.
 
-    ``out`` is the folder that appears by one rename once all is verified; by default one in the shared folder.
+    ``out`` is the folder that appears by one rename once all is verified (by default one in the shared folder): ``data``
+    has the files, ``bins`` the bin, name and rows of each.
     """
     spark = files.sparkSession
     carried = [c for c in files.columns if not c.startswith("__") and c != "bin"]
     # the listing may grow while we work: what is in the manifest is what gets rewritten
-    listed = materialize(manifest_of(files), "listed")
-    manifest = materialize(pack(listed, target, bins_per_group), "manifest")
-    bins = manifest.select("bin").distinct().count()
+    again = _repeats(files)
+    listed = manifest_of(files)
+    if again:
+        listed = listed.groupBy("file_id").agg(F.min(F.struct("bytes", "sum")).alias("f")).select("file_id", "f.bytes", "f.sum")
+    listed = materialize(listed, "listed")
+    if target is None:
+        target = target_for(int(listed.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("b")).first()["b"]))
+    packed, groups = pack(listed, target, bins_per_group, rows_per_group)
+    manifest = materialize(packed, "manifest")
     staging = f"{shared_dir(spark)}/inkwell/staging-{uuid.uuid4().hex}"
     out = out or f"{shared_dir(spark)}/inkwell/compacted-{uuid.uuid4().hex}"
-    kept = files.select(carried).join(manifest.select("file_id", "bin"), "file_id")
-    if _repeats(files):
-        kept = kept.dropDuplicates(["file_id"])
-    kept.select(*carried, "bin").repartition(max(1, bins), "bin").write.partitionBy("bin").parquet(staging)
-    schema = kept.select(*carried, "bin").schema
+    # one shuffle of the texts, by what groups them; all that follows stays in place
+    wide = files.select(carried).repartition(groups, "file_id")
+    narrow = manifest.select(F.col("file_id").alias("__id"), F.col("sum").alias("__sum"), "bin").repartition(groups, "__id")
+    kept = wide.join(narrow, wide["file_id"] == narrow["__id"]).where(text_sum(F.col("text")) == F.col("__sum"))
+    if again:
+        one = F.row_number().over(Window.partitionBy("file_id").orderBy(F.hash(*carried)))
+        kept = kept.withColumn("__one", one).where("__one = 1")
+    ready = kept.select(*carried, "bin").sortWithinPartitions("bin", "file_id")
+    written = materialize(write_bins(ready, f"{staging}/data"), "written")
+    n = written.count()
+    _drop_strays(spark, f"{staging}/data", written, n)
+    schema = ready.schema
+    made = spark.read.schema(schema).parquet(f"{staging}/data") if n else spark.createDataFrame([], schema)
     try:
-        rows = verify(spark.read.schema(schema).parquet(staging), manifest)
+        rows = verify(made, manifest)
     except Exception:
         _delete(spark, staging)
         raise
-    spark.createDataFrame([(json.dumps({"rows": rows, "bins": bins, "target": target}),)], "value string").coalesce(1).write.mode("append").text(f"{staging}/_manifest")
+    written.coalesce(max(1, n // 1_000_000)).write.parquet(f"{staging}/bins")
+    facts = json.dumps({"rows": rows, "files": n, "target": target})
+    spark.createDataFrame([(facts,)], "value string").coalesce(1).write.text(f"{staging}/facts")
     _rename(spark, staging, out)
-    return spark.read.schema(schema).parquet(out)
+    return spark.read.schema(schema).parquet(f"{out}/data") if n else spark.createDataFrame([], schema)
 
 
 def _repeats(files: DataFrame) -> bool:

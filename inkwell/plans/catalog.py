@@ -10,6 +10,7 @@ QUERIES = {
     **corpus.QUERIES,
     "p1_elements": problems.p1_elements,
     "p1_found": problems.p1_found,
+    "p3_bins": problems.p3_bins,
     "p3_compacted": problems.p3_compacted,
     "p3_found": problems.p3_found,
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.compact import compact
 from ..operators.delivery import latest_delivery
@@ -22,8 +23,13 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The consolidated page parts: every record once, in few files, with the bin it went to."""
-    return compact(read(spark, sf_dir, "page_files"))
+    """The consolidated page parts: every record once, in few files."""
+    return compact(read(spark, sf_dir, "page_files")).drop("bin")
+
+
+def p3_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files that the page parts went to, with their records and bytes of text."""
+    return compact(read(spark, sf_dir, "page_files")).groupBy("bin").agg(F.count(F.lit(1)).alias("records"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("text_bytes"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,6 +63,38 @@ def test_one_folder_holds_a_third(spark):
     assert len(per) <= total / 4000 * 1.25 + 1
 
 
+def test_empty_texts_are_spread(spark):
+    m = spark.range(5000).select(F.col("id").alias("file_id"), F.lit(0).cast("bigint").alias("bytes"), F.lit(1).cast("bigint").alias("sum"))
+    packed, groups = pack(m, 1000, rows_per_group=500)
+    per = [r["count"] for r in packed.groupBy("bin").count().collect()]
+    assert groups == 10 and len(per) == 10 and max(per) < 700
+
+
+def test_files_and_repeated_ids(spark, tmp_path):
+    rows = [(i, "d", 1, f"result/f/page_{i}.md", "t" * 50, 1, None) for i in range(400)]
+    out = str(tmp_path / "out")
+    again = [(7, "d", 1, "result/f/page_7.md", "u", 1, None), rows[9]]
+    done = compact(spark.createDataFrame(rows + again, SCHEMA).repartition(3), out, target=1000)
+    assert sorted(r.file_id for r in done.collect()) == list(range(400))
+    bins = spark.read.parquet(f"{out}/bins").collect()
+    files = sorted(p.name for p in (tmp_path / "out" / "data").glob("*.parquet"))
+    assert files == sorted(b.file for b in bins) and sum(b.rows for b in bins) == 400 and len(bins) == done.select("bin").distinct().count()
+    assert max(b.rows for b in bins) <= 20 and len(files) <= 400 / 20 * 1.25 + 1
+
+
+def test_stray_files_are_dropped(spark, tmp_path):
+    from inkwell.operators.compact import _drop_strays
+
+    folder = tmp_path / "data"
+    spark.range(3).coalesce(1).write.parquet(str(folder))
+    for junk in ("_SUCCESS", "._SUCCESS.crc", *(p.name for p in folder.glob(".*.crc"))):
+        (folder / junk).unlink(missing_ok=True)
+    name = next(folder.glob("*.parquet")).name
+    (folder / "part-stray.parquet").write_bytes(b"x")
+    _drop_strays(spark, str(folder), spark.createDataFrame([(name,)], "file string"), 1)
+    assert [p.name for p in folder.glob("*.parquet")] == [name]
+
+
 def test_first_fit():
     rng = np.random.default_rng(1)
     for _ in range(50):
@@ -76,7 +108,7 @@ def test_first_fit():
 
 def test_a_damaged_bin_is_seen(spark):
     files = spark.createDataFrame(ROWS, SCHEMA)
-    m = pack(manifest_of(files), 100).persist()
+    m = pack(manifest_of(files), 100)[0].persist()
     good = files.join(m.select("file_id", "bin"), "file_id")
     assert verify(good, m) == len(KEPT)
     for bad in (good.where("file_id <> 3"), good.unionByName(good.where("file_id = 3")), good.withColumn("text", F.when(F.col("file_id") == 3, "x").otherwise(F.col("text")))):
