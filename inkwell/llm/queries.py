@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.delivery import latest_delivery
 from ..session import read
 from . import denoise, encoding, leakage, mojibake, texttypes, unify
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, row_id, pos, text) of all cells and detections; ``pos`` counts null elements too."""
-    cells = read(spark, sf_dir, "cells").select(F.lit("cells").alias("src"), F.col("cell_id").alias("row_id"), F.lit(0).alias("pos"), "text")
-    pages = read(spark, sf_dir, "layout_json")
+    cells = latest_delivery(read(spark, sf_dir, "cells"), "cell_id", "seen_at").select(F.lit("cells").alias("src"), F.col("cell_id").alias("row_id"), F.lit(0).alias("pos"), "text")
+    pages = latest_delivery(read(spark, sf_dir, "layout_json"), "layout_id", "ingested_at")
     lines = pages.select("layout_id", F.posexplode("detections.content").alias("pos", "text")).select(F.lit("layout_json").alias("src"), F.col("layout_id").alias("row_id"), "pos", "text")
     return cells.unionByName(lines)
 
@@ -27,10 +28,10 @@ def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scanned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Pages, cells and regions, and the lexicon."""
-    cells = read(spark, sf_dir, "cells").select(F.lit("cells").alias("src"), F.col("cell_id").alias("row_id"), "text", F.lit(True).alias("whole_cell"))
-    regions = read(spark, sf_dir, "regions").select(F.lit("regions").alias("src"), F.col("region_id").alias("row_id"), "text", F.lit(False).alias("whole_cell"))
-    return denoise.page_lines(read(spark, sf_dir, "layout_json")), cells.unionByName(regions), read(spark, sf_dir, "lexicon")
+    """Pages, cells and regions as of their latest delivery, and the lexicon."""
+    cells = latest_delivery(read(spark, sf_dir, "cells"), "cell_id", "seen_at").select(F.lit("cells").alias("src"), F.col("cell_id").alias("row_id"), "text", F.lit(True).alias("whole_cell"))
+    regions = latest_delivery(read(spark, sf_dir, "regions"), "region_id", "seen_at").select(F.lit("regions").alias("src"), F.col("region_id").alias("row_id"), "text", F.lit(False).alias("whole_cell"))
+    return denoise.page_lines(latest_delivery(read(spark, sf_dir, "layout_json"), "layout_id", "ingested_at")), cells.unionByName(regions), read(spark, sf_dir, "lexicon")
 
 
 def p4_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
