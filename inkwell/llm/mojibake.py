@@ -1,18 +1,17 @@
 """Problem 8: text that went through a wrong character encoding.
 
-Two kinds of damage are undone, and both tell that a document is affected:
-
-* Code pages that are known. What was shown is turned back into the bytes it must have come from, run by run, and
-  read as the encoding that was meant; runs that went through twice are turned back twice. A reading counts only
-  if it is valid and consists of plausible letters in plausible places, while what was shown does not.
-* Code pages that are not known. Letters that no language of the lexicon has, inside words of Latin script, are the
-  cipher of a substitution. Per source, the letter behind each is learned by expectation-maximization: the posterior of
-  a letter given its neighbours is the product of its learned share and the bigrams of the languages. The result is
-  applied with ``translate()`` and counts if it gives words of the lexicon.
-
-Encodings of several bytes a letter are no substitution of letters, so learning letter by letter can't restore
-them; that is why the known code pages come first (see the README). Text of which bytes were lost (replacement
-characters) is reported, too, but cannot be restored.
+Damage inside words of Latin script is the cipher of a substitution: each unit of one to four characters that should not be
+there stands for one letter (UTF-8 shown in a one-byte code page makes several characters of a letter, one code page shown in
+another makes one). Nothing is assumed about the code pages. Per source, the letter behind each unit, and where one unit ends
+and the next begins, are learned by expectation-maximization: the posterior of the letters of a run, given the letters
+around it, is the product of the units' learned shares and the letter bigrams of the sound documents. What is learned is
+applied as a translation of units; a word counts if the result is a word of the lexicon or reads like one by the bigrams.
+
+What learning letter by letter can't restore is left to an exit, which is counted: Japanese text (thousands of letters, of which
+one document shows few), signs, and damage of which a source has too little. There, known code pages are turned back: what was
+shown becomes the bytes it must have come from, run by run, and these are read as the encoding that was meant, as often as it
+takes. A reading counts only if it is valid and consists of plausible letters in plausible places, while what was shown
+does not. Text of which bytes were lost (replacement characters) is reported, too, but cannot be restored.
 
 Results for odd input:
   * null, empty and blank texts are not affected;
@@ -23,12 +22,14 @@ Results for odd input:
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -108,7 +109,26 @@ def _runs(codec: str) -> tuple[re.Pattern, re.Pattern, dict[int, int]]:
 @lru_cache(maxsize=1)
 def _foreign() -> re.Pattern:
     """What makes a text worth a closer look: a character that sound text hasn't, or a kanji inside a Latin word."""
-    return re.compile(f"[^{_class(sound())}]|(?<=[a-z])[一-鿿](?=[a-z])|(?<=[a-zß-ÿ])[À-ÖØ-Þ](?=[a-zß-ÿ])|(?<=[a-z])÷(?=[a-z])")
+    return re.compile(f"[^{_class(sound())}]|{_INSIDE}|{_JIS.pattern}")
+
+
+#: Characters of sound text in places where sound text has none.
+_INSIDE = "(?<=[a-z])[一-鿿](?=[a-z])|(?<=[a-zß-ÿ])[À-ÖØ-Þ](?=[a-zß-ÿ])|(?<=[a-z])[÷“”„‚…](?=[a-z])"
+#: Seven-bit Japanese whose escapes were lost or are shown.
+_JIS = re.compile(r"\x1b?\$[@B](?:[!-~]{2})+?(?:\x1b?\([BJ]|$)", re.M)
+
+
+@lru_cache(maxsize=1)
+def jvm_pattern() -> str:
+    """The same for the JVM, half-width kana included: rows without a match need not be looked at."""
+    ranges, out = sorted(map(ord, sound())), ""
+    start = last = ranges[0]
+    for n in [*ranges[1:], -1]:
+        if n != last + 1:
+            out += f"\\x{{{start:x}}}-\\x{{{last:x}}}"
+            start = n
+        last = n
+    return f"[^{out}]|{_INSIDE}|[｡-ﾟ]|\\$[@B][!-~]{{2}}"
 
 
 _SAMPLES = re.compile(rf"「[^「」\n]{{1,{SAMPLE}}}」|\"[^\"\n]{{1,{SAMPLE}}}\"|“[^“”\n]{{1,{SAMPLE}}}”|'[^'\n]{{1,{SAMPLE}}}'")
@@ -181,18 +201,29 @@ def _back_utf8(line: str) -> str | None:
     return best
 
 
+def _back_jis(m: re.Match) -> str:
+    """Pairs of printing characters as the Japanese they stand for; other text, for one a formula between dollar signs, as it is."""
+    body = re.sub(r"^\x1b?\$[@B]|\x1b?\([BJ]$", "", m.group())
+    try:
+        y = bytes(ord(c) | 0x80 for c in body).decode("euc_jp")
+    except (UnicodeDecodeError, ValueError):
+        return m.group()
+    return y if y and sum(map(_is_japanese, y)) * 2 > len(y) else m.group()
+
+
 def _oddness(x: str) -> int:
     return sum(c not in sound() for c in x)
 
 
 def _restore_line(line: str) -> tuple[str, bool]:
     """A line as it was meant, and whether it had to be changed."""
-    # UTF-8 in one-byte code pages, perhaps more than once
+    # seven-bit Japanese
+    out = _JIS.sub(_back_jis, line)
+    if out != line:
+        return out, True
+    # UTF-8 in one-byte code pages, as often as there is something to turn back; every turn makes the line shorter
     x = line
-    for _ in range(3):
-        y = _back_utf8(x)
-        if y is None:
-            break
+    while (y := _back_utf8(x)) is not None and len(y) < len(x):
         x = y
         if _plausible_change(line, x):
             return x, True
@@ -294,133 +325,278 @@ def restore(text: str) -> tuple[str, int]:
 
 # ---- unknown code pages
 
-_CIPHER = re.compile(r"[a-zà-ÿ]?[^\x00-\x7f\W][a-zà-ÿ]?|(?<=[a-z])[^\x00-\x7f\s](?=[a-z])")
-_TOKEN = re.compile(r"[^\s\x00-\x40\[-`{-~]*[^\x00-\x7f\s][^\s\x00-\x40\[-`{-~]*")
+_TOKEN = re.compile(r"[^\s\x00-\x40\[-`{-\x7fぁ-んァ-ヶー、。一-鿿]*(?:[一-鿿](?=[a-z]))?[^\s\x00-\x40\[-`{-\x7fぁ-んァ-ヶー、。一-鿿]*")
+_RUN = re.compile(r"[^\x00-\x7f]+")
+#: Characters of a unit and of a run at most; longer runs are no letters inside a word. Letters of a run at most.
+UNIT, RUN, LETTERS_OF_RUN = 4, 8, 2
+#: How sure a unit's letter must be, and how well a restored word must read (mean log of its bigrams) if the lexicon hasn't it.
+SURE, READS, MOST_WORDS = 0.6, -2.35, 0.8
 
 
-def cipher_words(text: str) -> Iterator[str]:
-    """Words of Latin letters with a character inside that no language here has."""
-    ok = sound()
-    for w in _TOKEN.findall(text):
-        odd = [k for k, c in enumerate(w) if c not in ok or c.isupper() and k and ord(c) > 127]
-        if odd and len(w) >= 4 and sum("a" <= c <= "z" for c in w) >= len(w) / 2 and any(0 < k < len(w) - 1 for k in odd) and not any(_is_japanese(c) or unicodedata.category(c) in ("Cf", "Mn", "Zs") for c in w):
-            yield w
+@lru_cache(maxsize=1)
+def _good_letters() -> frozenset[str]:
+    return frozenset(LETTERS)
+
+
+def cipher_tokens(line: str) -> Iterator[re.Match]:
+    """Words of Latin letters with something inside that can't be there: a run of characters that are no letters here, or
+    capitals behind small letters."""
+    good = _good_letters()
+    for m in _TOKEN.finditer(line):
+        w = m.group()
+        if len(w) < 3 or w.isascii() or sum("a" <= c <= "z" or "A" <= c <= "Z" for c in w) * 2 < len(w) - UNIT:
+            continue
+        for r in _RUN.finditer(w):
+            x = r.group()
+            if len(x) <= RUN and not all(c in good and (c.islower() or not r.start()) for c in x) and (r.start() or r.end() < len(w)):
+                if not any(unicodedata.category(c) in ("Mn", "Zs") or c in "\xad\u200b\u200c\u200d\u2060\ufeff" for c in x):
+                    yield m
+                    break
+
+
+def runs_of(word: str) -> Iterator[tuple[str, str, str]]:
+    """(run, letter before, letter behind) of the runs of a word; ``^`` and ``$`` stand for its ends."""
+    for r in _RUN.finditer(word):
+        if len(r.group()) <= RUN:
+            yield r.group(), word[r.start() - 1].lower() if r.start() else "^", word[r.end()].lower() if r.end() < len(word) else "$"
 
 
 class Bigrams:
-    """Smoothed letter bigrams of a word list, with ``^`` and ``$`` at the ends."""
-
-    def __init__(self, words: Iterable[str]) -> None:
-        count: dict[str, Counter] = defaultdict(Counter)
-        alphabet: set[str] = set()
-        for w in words:
-            w = f"^{w.lower()}$"
-            alphabet |= set(w[1:-1])
-            for a, b in zip(w, w[1:]):
-                count[a][b] += 1
-        self.letters = sorted(c for c in alphabet if c.isalpha())
-        size = len(self.letters) + 1
-        self.p = {(a, b): (count[a][b] + 0.05) / (sum(count[a].values()) + 0.05 * size) for a in ["^", *self.letters] for b in [*self.letters, "$"]}
-
-    def __call__(self, a: str, b: str) -> float:
-        return self.p.get((a, b), 1e-4)
-
-
-def learn_cipher(contexts: Iterable[tuple[str, str, str, int]], lm: Bigrams, start: dict[str, dict[str, float]] | None = None, rounds: int = 30) -> dict[str, dict[str, float]]:
-    """Share of each letter behind each cipher, from (cipher, letter before, letter after, count)."""
-    rows = list(contexts)
-    targets = [c for c in lm.letters if ord(c) > 127]
-    share = {f: dict((start or {}).get(f) or {c: 1 / len(targets) for c in targets}) for f in {r[0] for r in rows}}
+    """Smoothed letter bigrams, with ``^`` and ``$`` at the ends of words. ``count``: how often (a, b) occurs."""
+
+    def __init__(self, count: dict[tuple[str, str], float]) -> None:
+        self.letters = sorted({c for p in count for c in p if c.isalpha()})
+        self.first, self.second = ["^", *self.letters], [*self.letters, "$"]
+        i, j = {c: k for k, c in enumerate(self.first)}, {c: k for k, c in enumerate(self.second)}
+        n = np.zeros((len(self.first), len(self.second)))
+        for (a, b), k in count.items():
+            if a in i and b in j:
+                n[i[a], j[b]] += k
+        self.i, self.j, total = i, j, n.sum(axis=1, keepdims=True)
+        self.p = (n + 0.0005 * total + 0.05) / (total * (1 + 0.0005 * len(self.second)) + 0.05 * len(self.second))
+        #: Letters that a unit may stand for.
+        self.targets = [c for c in self.letters if ord(c) > 127]
+
+    @classmethod
+    def of_words(cls, words: Iterable[str]) -> Bigrams:
+        return cls(Counter(p for w in words for p in zip("^" + w.lower(), w.lower() + "$")))
+
+    def mean(self, word: str) -> float:
+        w = word.lower()
+        return sum(math.log(self.p[self.i[a], self.j[b]] if a in self.i and b in self.j else 1e-5) for a, b in zip("^" + w, w + "$")) / (len(w) + 1)
+
+
+def learn_units(rows: list[tuple[int, str, str, str, int]], lm: Bigrams, rounds: int = 25) -> dict[tuple[int, str], tuple[str, float]]:
+    """(letter, share) behind each unit of each source, from (source, run, letter before, letter behind, count).
+
+    A run is one unit, or two in every way it can be cut. All runs of all sources are gone through at once, as arrays.
+    """
+    t = len(lm.targets)
+    if not rows or not t:
+        return {}
+    ids: dict[tuple[int, str], int] = {}
+    one: list[tuple] = []
+    two: list[tuple] = []
+    before = lambda c: lm.i.get(c, -1)
+    behind = lambda c: lm.j.get(c, -1)
+    for k, (s, run, a, b, n) in enumerate(rows):
+        if len(run) <= UNIT:
+            one.append((k, ids.setdefault((s, run), len(ids)), before(a), behind(b), n))
+        for cut in range(max(1, len(run) - UNIT), min(UNIT, len(run) - 1) + 1):
+            two.append((k, ids.setdefault((s, run[:cut]), len(ids)), ids.setdefault((s, run[cut:]), len(ids)), before(a), behind(b), n))
+    # unknown neighbours say nothing
+    p = np.vstack([lm.p, lm.p.mean(axis=0)])
+    p = np.hstack([p, p.mean(axis=1, keepdims=True)])
+    at_i, at_j = np.array([lm.i[c] for c in lm.targets]), np.array([lm.j[c] for c in lm.targets])
+    o, w = np.array(one, dtype=np.int64).reshape(-1, 5), np.array(two, dtype=np.int64).reshape(-1, 6)
+    head_o, tail_o = p[o[:, 2]][:, at_j], p[at_i][:, o[:, 3]].T
+    head_w, tail_w = p[w[:, 3]][:, at_j], p[at_i][:, w[:, 4]].T
+    inner = p[np.ix_(at_i, at_j)]
+    share = np.full((len(ids), t), 1.0 / t)
+    total = np.zeros(len(rows))
+    # how long the units of each source are: learned, too, for all letters of a code page have about one length
+    source = np.array([s for s, _ in ids])
+    length = np.array([len(u) for _, u in ids]) - 1
+    long = np.full((source.max() + 1, UNIT), 1.0 / UNIT)
     for _ in range(rounds):
-        gain: dict[str, Counter] = defaultdict(Counter)
-        for f, a, b, n in rows:
-            score = {c: share[f].get(c, 0) * lm(a, c) * lm(c, b) for c in targets}
-            total = sum(score.values()) or 1.0
-            for c, s in score.items():
-                gain[f][c] += n * s / total
-        for f, g in gain.items():
-            base = (start or {}).get(f)
-            total = sum(g.values()) + (2 if base else 0)
-            share[f] = {c: (g[c] + (2 * base.get(c, 0) if base else 0)) / total for c in targets}
-    return share
-
-
-def _contexts(w: str) -> Iterator[tuple[str, str, str]]:
-    ok = sound()
-    for k, c in enumerate(w):
-        if c not in ok or c.isupper() and k and ord(c) > 127:
-            a, b = w[k - 1].lower() if k else "^", w[k + 1].lower() if k + 1 < len(w) else "$"
-            yield c, a, b
+        weighted = share * long[source, length][:, None] ** 2
+        so = weighted[o[:, 1]] * head_o * tail_o
+        left, right = weighted[w[:, 1]] * head_w, weighted[w[:, 2]] * tail_w
+        through = left @ inner  # of the first letter, summed
+        sw = through * right
+        total[:] = 1e-300
+        np.add.at(total, o[:, 0], so.sum(axis=1))
+        np.add.at(total, w[:, 0], sw.sum(axis=1))
+        gain = np.zeros_like(share)
+        np.add.at(gain, o[:, 1], so * (o[:, 4] / total[o[:, 0]])[:, None])
+        weight = (w[:, 5] / total[w[:, 0]])[:, None]
+        np.add.at(gain, w[:, 2], sw * weight)
+        np.add.at(gain, w[:, 1], left * (right @ inner.T) * weight)
+        mass = gain.sum(axis=1, keepdims=True)
+        long[:] = 0.02
+        np.add.at(long, (source, length), mass[:, 0])
+        long /= long.sum(axis=1, keepdims=True)
+        # a unit's share of letters, and how much it is needed at all, so that one unit wins over two that nothing else shows
+        share = np.where(mass > 0, (gain + 0.01) / (mass + 0.01 * t), share) * (mass / (mass + 0.5))
+    best = share.argmax(axis=1)
+    mass = gain.sum(axis=1)
+    return {u: (lm.targets[best[k]], float(gain[k, best[k]] / mass[k])) for u, k in ids.items() if mass[k] > 0.5}
+
+
+def translate(word: str, units: dict[str, str], longest: int) -> str:
+    """The word with the units of its runs put right, the longest first; a letter is a capital where its unit is one."""
+    out, k = "", 0
+    while k < len(word):
+        for n in range(min(longest, len(word) - k), 0, -1):
+            to = units.get(word[k : k + n])
+            if to is not None:
+                out += to
+                k += n
+                break
+        else:
+            out += word[k]
+            k += 1
+    return out
 
 
 def affected(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """(doc_id, restored, lines, words) of every affected document: its restored text, the lines that known code pages
-    explain or that lost bytes, and the words that the learned substitution of its source restored."""
-    words = [r.w for r in lexicon.where("word is not null").select(F.lower("word").alias("w")).distinct().limit(MAX_LEXICON + 1).collect()]
+    """(doc_id, restored, words, lines) of every affected document: its restored text, the words that the substitution learned for
+    its source restored, and the lines of which only known code pages, or lost bytes, tell that they are affected."""
+    words = [r.w for r in lexicon.where("word is not null").select(F.col("word").alias("w")).distinct().limit(MAX_LEXICON + 1).collect()]
     if len(words) > MAX_LEXICON:
         raise ValueError(f"more than {MAX_LEXICON} words; give a smaller lexicon")
-    latin = [w for w in words if re.match("[a-zà-ÿœß]", w)]
-    known = frozenset(latin)
+    latin = sorted({w.lower() for w in words if re.match("[a-zà-ÿœß]", w.lower())})
+    some = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(source_col), F.lit("")).alias("source"), F.col(text_col).alias("text")).where("text is not null")
+    # what needs no look never leaves the JVM, but for the bigrams of what is sound
+    odd = materialize(some.where(F.col("text").rlike(jvm_pattern())).dropDuplicates(["doc_id"]), "odd")
+    lm = Bigrams(_bigrams(some, latin))
+    known = docs.sparkSession.sparkContext.broadcast(frozenset(latin) | {w for w in words if w[:1].isupper()})
+    tables = _learned(odd, lm)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = []
-            for i, s, t in zip(*(b.column(k).to_pylist() for k in range(3))):
-                fixed, lines = restore(t)
-                left = list(cipher_words(fixed)) if fixed.isascii() is False and _foreign_latin().search(fixed) else []
-                if lines or left:
-                    got.append((i, s, fixed, lines, left))
-            cols = list(zip(*got)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.list_(pa.string()))],
-                names=["doc_id", "source", "text", "lines", "left"],
-            )
+            out = []
+            for i, t, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                fixed, n, lines = put_right(t, dict(zip(m[::2], m[1::2])) if m else {}, known.value, lm)
+                if n or lines:
+                    out.append((i, fixed, n, lines))
+            cols = list(zip(*out)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int32(), pa.int32()))], names=["doc_id", "restored", "words", "lines"])
 
-    some = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(source_col), F.lit("")).alias("source"), F.col(text_col).alias("text")).where("text is not null")
-    odd = materialize(some.mapInArrow(run, "doc_id bigint, source string, text string, lines int, left array<string>"), "odd")
-    tables = _learned(odd, latin)
-
-    @F.pandas_udf("struct<text:string,words:int>")
-    def apply(text: pd.Series, left: pd.Series, letters: pd.Series) -> pd.DataFrame:
-        out = []
-        for t, ws, m in zip(text, left, letters):
-            pairs = dict(zip(m[::2], m[1::2])) if m else {}
-            n = 0
-            if pairs and len(ws):
-                to = str.maketrans(pairs)
-                good = {w: w.translate(to) for w in ws if w.translate(to).lower() in known}
-                n = sum(w in good for w in ws)
-                if n * 2 < len(ws):
-                    n = 0
-                else:
-                    for w, v in good.items():
-                        t = t.replace(w, v)
-            out.append((t, n))
-        return pd.DataFrame(out, columns=["text", "words"])
-
-    both = odd.join(tables, "source", "left").withColumn("r", apply("text", "left", F.coalesce("letters", F.lit(""))))
-    return both.select("doc_id", F.col("r.text").alias("restored"), "lines", F.col("r.words").alias("words")).where("lines > 0 or words > 0").dropDuplicates(["doc_id"])
+    return odd.join(tables, "source", "left").select("doc_id", "text", "units").mapInArrow(apply, "doc_id bigint, restored string, words int, lines int")
 
 
-@lru_cache(maxsize=1)
-def _foreign_latin() -> re.Pattern:
-    return re.compile(f"(?<=[a-z])[^{_class(sound())}](?=[a-z])|(?<=[a-z])[À-ÖØ-Þ](?=[a-z])")
+def put_right(text: str, units: dict[str, str], known: frozenset[str], lm: Bigrams) -> tuple[str, int, int]:
+    """(text, words, lines): a text with all put right that a source's units or known code pages explain; words by the former,
+    lines by the latter alone."""
+    if not _foreign().search(text) and not _HALF.search(text):
+        return text, 0, 0
+    longest = max(map(len, units), default=0)
+    out, words, lines = [], 0, 0
+    for line in re.split("(\r\n|\n|\r)", text):
+        if not (_foreign().search(line) or _HALF.search(line)):
+            out.append(line)
+            continue
+        shown = [m.span() for m in _SAMPLES.finditer(line) if _foreign().search(m.group()) or _HALF.search(m.group())]
+        tokens = [m for m in cipher_tokens(line) if not any(a <= m.start() < b for a, b in shown)]
+        fixed = [(m, translate(m.group(), units, longest)) for m in tokens] if units else []
+        good = [(m, _cased(w, known)) for m, w in fixed if w != m.group() and _reads(w, known, lm)]
+        by_units = len(good) >= MOST_WORDS * len(tokens) and len(good) > 0
+        learned, k = "", 0
+        for m, w in good if by_units else ():
+            learned, k = learned + line[k : m.start()] + w, m.end()
+        learned += line[k:]
+        if by_units and _foreign().search(learned):  # what is left may say that the whole line is of another kind
+            rest, n = restore(line)
+            by_units = not n or bool(_foreign().search(rest))
+        if by_units:
+            words += len(good)
+            rest, n = restore(learned)  # signs and other text of the line
+            out.append(rest if n and not _LOST.search(rest) else learned)
+        else:
+            rest, n = restore(line)
+            out.append(rest)
+            lines += n
+    return "".join(out), words, lines
+
 
+def _reads(word: str, known: frozenset[str], lm: Bigrams) -> bool:
+    """Whether a restored word is one of the lexicon, or reads like one and is not one of it behind a sign."""
+    if any(ord(c) > 127 and c not in _good_letters() for c in word):
+        return False
+    low = word.lower()
+    return low in known or len(word) >= 6 and low.lstrip(LETTERS) not in known and lm.mean(word) >= READS
+
+
+def _cased(word: str, known: frozenset[str]) -> str:
+    """The word with a capital if the lexicon has it only so."""
+    upper = word[:1].upper() + word[1:]
+    return upper if word not in known and upper in known else word
+
+
+def _bigrams(texts: DataFrame, latin: list[str]) -> dict[tuple[str, str], float]:
+    """How often letters follow each other in words of the sound texts (and once in each word of the lexicon): a table of
+    the letters' number squared."""
+    letters = "^" + "".join(sorted({c for w in latin for c in w if c.isalpha() and ord(c) < 0x250} | set("abcdefghijklmnopqrstuvwxyz")))
+    k = len(letters)
 
-def _learned(odd: DataFrame, latin: list[str]) -> DataFrame:
-    """(source, letters): the substitution of each source as cipher, letter, cipher, letter, ..."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = np.zeros(0x10000, np.int64)
+        for n, c in enumerate(letters[1:], 1):
+            code[ord(c)] = n
+            if len(c.upper()) == 1:
+                code[ord(c.upper())] = n
+        total = np.zeros(k * k, np.int64)
+        for b in batches:
+            text = "\n" + "\n".join(b.column(0).to_pylist()) + "\n"
+            c = code[np.minimum(np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32), 0xFFFF)]
+            total += np.bincount(c[:-1] * k + c[1:], minlength=k * k)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["k", "n"])
+
+    out: Counter = Counter(p for w in latin for p in zip("^" + w, w + "$"))
+    sound_texts = texts.where(~F.col("text").rlike(jvm_pattern())).select("text")
+    for r in sound_texts.mapInArrow(run, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).collect():
+        a, b = letters[r.k // k], letters[r.k % k]
+        if (a, b) != ("^", "^"):
+            out[a, "$" if b == "^" else b] += r.n
+    return dict(out)
 
-    @F.pandas_udf("array<struct<f:string,a:string,b:string>>")
-    def contexts(left: pd.Series) -> pd.Series:
-        return left.map(lambda ws: [dict(zip("fab", c)) for w in ws for c in _contexts(w)])
 
-    each = odd.where("size(left) > 0").select("source", F.explode(contexts("left")).alias("c")).groupBy("source", "c.f", "c.a", "c.b").count()
-    lm = Bigrams(latin)
+#: Groups that sources are put into for the learning; all sources of a group are learned at once, each for itself.
+GROUPS = 64
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        share = learn_cipher(pdf[["f", "a", "b", "count"]].itertuples(index=False), lm)
-        sure = {f: max(s, key=s.get) for f, s in share.items() if s and max(s.values()) >= 0.5}
-        return pd.DataFrame({"source": [pdf["source"].iloc[0]], "letters": ["".join(f + c for f, c in sure.items())]})
 
-    # one row per cipher and pair of neighbours: a bounded group, however many documents a source has
-    return small_or_not(each.groupBy("source").applyInPandas(one, "source string, letters string"), "ciphers")
+def _learned(odd: DataFrame, lm: Bigrams) -> DataFrame:
+    """(source, units): what the units of each source stand for, as unit, letter, unit, letter, ..."""
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got: Counter = Counter()
+            for s, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for line in re.split("[\r\n]+", t):
+                    if _foreign().search(line) or _HALF.search(line):
+                        got.update((s, *x) for m in cipher_tokens(line) for x in runs_of(m.group()))
+            cols = list(zip(*got)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols), pa.array(list(got.values()), pa.int64())], names=["source", "run", "a", "b", "n"])
+
+    each = odd.select("source", "text").mapInArrow(contexts, "source string, run string, a string, b string, n bigint").groupBy("source", "run", "a", "b").agg(F.sum("n").alias("n"))
+
+    def some(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = {s: k for k, s in enumerate(sorted(set(pdf["source"])))}
+        rows = [(names[s], r, a, b, int(n)) for s, r, a, b, n in pdf[["source", "run", "a", "b", "n"]].itertuples(index=False)]
+        starts: dict[tuple[int, str], list[int]] = defaultdict(lambda: [0, 0])
+        for s, r, a, _, n in rows:
+            for k in range(1, min(UNIT, len(r)) + 1):
+                starts[s, r[:k]][a == "^"] += n
+        units: dict[int, list[str]] = defaultdict(list)
+        for (s, u), (letter, sure) in sorted(learn_units(rows, lm).items()):
+            if sure >= SURE:
+                inside, first = starts[s, u]
+                # a unit that only begins words stands for a capital, if its letter has another unit
+                units[s] += [u, letter.upper() if first and not inside and any(x == letter and v != u and starts[s, v][0] for v, x in zip(units[s][::2], map(str.lower, units[s][1::2]))) else letter]
+        return pd.DataFrame({"source": list(names), "units": [units[k] for k in names.values()]})
+
+    # rows are cipher and neighbours, not documents: a hot source is one group of bounded size
+    grouped = each.withColumn("g", F.pmod(F.xxhash64("source"), F.lit(GROUPS))).groupBy("g").applyInPandas(some, "source string, units array<string>")
+    return small_or_not(grouped, "ciphers")

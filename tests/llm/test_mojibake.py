@@ -1,6 +1,7 @@
 """Problem 8: damage of known kinds put on sound text, and a cipher that nobody told about."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from inkwell.llm import mojibake as m
 
@@ -55,6 +56,48 @@ def test_sound_text_is_left_alone(text):
     assert m.restore(text) == (text, 0)
 
 
+@pytest.mark.parametrize("text", ["この章では、表計算によって値を示す。", "補正する前に確認する"])
+def test_seven_bit_japanese(text):
+    raw = text.encode("iso2022_jp").decode("ascii")
+    for shown in (raw, raw.replace("\x1b", "")):
+        assert m.restore("# x\n" + shown + "\ny") == ("# x\n" + text + "\ny", 1)
+    assert m.restore("$B = 3$ and $A_1 + B_2$ $Bxy") == ("$B = 3$ and $A_1 + B_2$ $Bxy", 0)
+
+
+def test_five_times():
+    bad = "Die Größe"
+    for _ in range(5):
+        bad = bad.encode().decode("latin-1")
+    assert m.restore(bad) == ("Die Größe", 1)
+
+
+def _damaged(words, shown):
+    """(row for the learning, truth) of each word of which UTF-8, or another code page, is shown in one."""
+    for w in words:
+        bad = w.encode("utf-8" if shown != "cp850>cp1252" else "cp850", "strict").decode("latin-1" if shown == "utf-8>latin-1" else "cp1252", "replace")
+        if bad != w and "\ufffd" not in bad:
+            yield bad, w
+
+
+@pytest.mark.parametrize("shown", ["utf-8>latin-1", "cp850>cp1252"])
+def test_units_are_learned_without_code_pages(shown):
+    pairs = list(_damaged(WORDS, shown))
+    lm = m.Bigrams.of_words(WORDS * 3 + "der die und mit das ist rot les des une dans pour par".split())
+    rows = [(0, *x, 3) for bad, _ in pairs for x in m.runs_of(bad)]
+    units = {u: letter for (_, u), (letter, sure) in m.learn_units(rows, lm).items() if sure >= m.SURE}
+    longest = max(map(len, units))
+    right = sum(m.translate(bad, units, longest) == w for bad, w in pairs)
+    assert len(pairs) >= 15 and right >= 0.7 * len(pairs), (right, len(pairs), units)
+    assert m.learn_units([], lm) == {}
+
+
+def test_the_jvm_sees_what_python_sees(spark):
+    texts = ["", "sound ü é", "ﾃﾞｰﾀ", "gr\xc3\xb6", "a眉b", "fÈr", "x÷y", "$B$b$7$7", "表計算", "a \x85 b", "gr”er", "“quoted”", "😀", "Ã Â"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i for r in df.where(F.col("t").rlike(m.jvm_pattern())).collect()}
+    assert got == {i for i, t in enumerate(texts) if m._foreign().search(t) or m._HALF.search(t)} | {7}
+
+
 def test_bigrams_learn_an_unknown_page(spark):
     cipher = str.maketrans("äöüßéèê", "ѪѮѰѲѳѵѷ")
     rows = [(k, (DE + " " + DE.replace("Fläche", "Länge")).translate(cipher), "a", None) for k in range(3)] + [(10, FR.translate(cipher), None, "x"), (11, DE, "a", "x"), (12, None, "a", "x"), (13, "", None, "x"), (14, JA.encode().decode("latin-1"), "b", "x")]
