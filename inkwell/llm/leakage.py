@@ -4,13 +4,14 @@ Texts become sequences of units: words for text in Latin script, letters for tex
 case, width, blanks, line breaks, punctuation and markup. A document leaks an item if it holds a run of ``run``
 or more of its units (or the whole of a shorter item) with at most one in ``per`` changed, left out or put in.
 
-Pigeonhole: a run with at most e errors holds one of its e + 1 pieces unchanged. All pieces of all items go into a
-hash table; the documents' windows of a piece's length are hashed by vector operations and looked up. Hits on one
-diagonal are strung together; a string as long as a run is a find. Of the others, runs around the hit are counted
-unit by unit, with shifts, which gives an upper bound of what can match; where that allows a find, Myers'
-bit-parallel edit distance decides. No piece is skipped because it is common.
-
-The items' tables are bounded: items are taken in blocks of at most ``block`` items, one pass over the documents each.
+Pigeonhole: a run with at most e errors holds one of its e + 1 pieces unchanged. All pieces of all items are a table of
+(hash, item), however many items there are. One scan of the documents hashes their windows of a piece's length by vector
+operations and keeps, by a Bloom filter over the table, the documents that may hold a piece, with the hashes in question. An
+equi-join of these hashes with the table (broadcast if it is small, else shuffled, and split where a piece is hot)
+gives each document its candidate items; a last pass verifies them. There, hits on one diagonal are strung together; a
+string as long as a run is a find. Of the others, runs around the hit are counted unit by unit, with shifts, which gives an
+upper bound of what can match; where that allows a find, Myers' bit-parallel edit distance decides. No piece is skipped
+because it is common. Items with one text are searched as one.
 
 Results for odd input:
   * null, empty and blank documents and items leak nothing;
@@ -28,9 +29,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import is_small, materialize
+
 
 @dataclass(frozen=True)
 class Budget:
@@ -66,8 +70,8 @@ class Budget:
 
 
 WORDS, LETTERS = Budget(16, 10), Budget(40, 15)
-#: Test items in one pass.
-BLOCK = 5000
+#: Candidate items that are verified at once, and bits of the Bloom filter for each piece and at most.
+BLOCK, BITS_EACH, MOST_BITS = 200, 12, 28
 
 _TAG = re.compile(r"<[^<>\n]{1,200}>")
 _BROKEN = re.compile(r"(?<=[^\W\d_])[-‐‑\xad¬]\s*\n\s*(?=[^\W\d_])")
@@ -267,7 +271,7 @@ def _hashes(units: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Index:
-    """All items of a block."""
+    """Items that texts are searched for."""
 
     def __init__(self, items: list[tuple[int, str | None]]) -> None:
         self.vocabulary: dict[str, int] = {}
@@ -291,32 +295,108 @@ class Index:
             rows_w.append(np.array([get(w, -1) for w in _WORD.findall(t)], dtype=np.int64))
             rows_c.append(letters(t) if _HAS_CJK.search(t) else np.array([], np.int64))
         for side, rows in ((self.words, rows_w), (self.chars, rows_c)):
-            gap, pad = np.zeros(1, np.int64), np.zeros(4 * side.budget.run, np.int64)
-            units = np.concatenate([pad, *(x for r in rows for x in (r, gap)), pad])
-            doc = np.repeat(np.arange(len(rows) + 2), [len(pad), *(len(r) + 1 for r in rows), len(pad)]) - 1
-            found |= side.search(units, doc)
+            found |= side.search(*_spread(rows, 4 * side.budget.run))
         return found
 
 
-def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, batch_chars: int = 2_000_000) -> DataFrame:
-    """(doc_id, item_id) of every document that holds a passage of an item."""
-    items = items.where("text is not null").select("item_id", "text").distinct()
-    blocks = max(1, -(-items.count() // block))
-    out = None
-    for k in range(blocks):
-        part = [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()]
-        one = _block(docs, part, id_col, text_col, batch_chars)
-        out = one if out is None else out.unionByName(one)
-    return out.distinct()
+class _Ids(dict):
+    """Positive numbers of words, the same in every worker."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        self[word] = n = (xxhash.xxh3_64_intdigest(word) >> 1) | 1
+        return n
+
+
+_ids = _Ids()
+
+
+def units_of(text: str | None, item: bool) -> list[tuple[int, np.ndarray]]:
+    """(side, units): 0 for words, 1 for letters. A document with kana or kanji is both, an item one of them."""
+    t = plain(text or "")
+    cjk = bool(_HAS_CJK.search(t))
+    out = []
+    if not (item and cjk):
+        out.append((0, np.fromiter(map(_ids.__getitem__, _WORD.findall(t)), np.int64)))
+    if cjk:
+        out.append((1, letters(t)))
+    return out
+
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of the windows of items: of a piece's length, of shorter items the whole."""
+    for b in batches:
+        rows: list[tuple[int, int, int, str]] = []
+        for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for side, u in units_of(text, True):
+                q = min((WORDS, LETTERS)[side].piece, len(u))
+                if q:
+                    h, _ = _hashes(u, q)
+                    rows += [(side, q, x, key) for x in np.unique(h).view(np.int64).tolist()]
+        cols = list(zip(*rows)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.string()))], names=["side", "length", "hash", "cls"])
 
-def _block(docs: DataFrame, items: list[tuple[int, str]], id_col: str, text_col: str, batch_chars: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(items)
+
+def _bloom(pieces: DataFrame, bits: int) -> np.ndarray:
+    """One bit for the upper bits of each hash; made in parts of 64 KB, which meet part by part."""
+    part = 16  # bytes of a part, as a power of two
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, np.ndarray] = {}
+        for b in batches:
+            at = np.asarray(b.column(0)).view(np.uint64) >> np.uint64(64 - bits)
+            for k in np.unique(at >> np.uint64(part + 3)).tolist():
+                own = at[at >> np.uint64(part + 3) == k] & np.uint64((1 << (part + 3)) - 1)
+                np.bitwise_or.at(parts.setdefault(k, np.zeros(1 << part, np.uint8)), (own >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (own & np.uint64(7)).astype(np.uint8)))
+        yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array([x.tobytes() for x in parts.values()], pa.binary())], names=["k", "bits"])
+
+    out = np.zeros(max(1, 1 << (bits - 3)), np.uint8)
+    for r in pieces.select("hash").mapInArrow(mark, "k bigint, bits binary").toLocalIterator():
+        own = np.frombuffer(r.bits, np.uint8)
+        at = r.k << part
+        out[at : at + len(own)] |= own[: len(out) - at]
+    return out
+
+
+def _spread(rows: list[np.ndarray], pad: int) -> tuple[np.ndarray, np.ndarray]:
+    """Units of several texts in a row, with a 0 between and many at the ends, and the text of each."""
+    gap, edge = np.zeros(1, np.int64), np.zeros(pad, np.int64)
+    units = np.concatenate([edge, *(x for r in rows for x in (r, gap)), edge])
+    return units, np.repeat(np.arange(len(rows) + 2), [pad, *(len(r) + 1 for r in rows), pad]) - 1
+
+
+def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 2_000_000) -> DataFrame:
+    """(doc_id, item_id) of every document that holds a passage of an item."""
+    spark = docs.sparkSession
+    named = items.where("text is not null").select("item_id", "text", F.md5("text").alias("cls"))
+    classes = materialize(named.groupBy("cls").agg(F.first("text").alias("text")), "items")
+    pieces = materialize(classes.mapInArrow(_pieces, "side int, length int, hash bigint, cls string").distinct(), "pieces")
+    n = pieces.count()
+    bits = min(MOST_BITS, max(10, (BITS_EACH * max(n, 1)).bit_length()))
+    lengths = [(r.side, r.length) for r in pieces.select("side", "length").distinct().collect()]  # as many as units of a piece, at most
+    shared = spark.sparkContext.broadcast(_bloom(pieces, bits))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bloom = shared.value
 
         def flush(ids: list[int], texts: list[str]) -> pa.RecordBatch:
-            got = sorted(index.search(texts))
-            return pa.RecordBatch.from_arrays([pa.array([ids[d] for d, _ in got], pa.int64()), pa.array([i for _, i in got], pa.int64())], names=["doc_id", "item_id"])
+            sides: list[list[np.ndarray]] = [[], []]
+            none = np.array([], np.int64)
+            for t in texts:
+                got = dict(units_of(t, False))
+                for k in (0, 1):
+                    sides[k].append(got.get(k, none))
+            found: dict[int, set[int]] = {}
+            for side, q in lengths:
+                units, doc = _spread(sides[side], q)
+                h, ok = _hashes(units, q)
+                at = h >> np.uint64(64 - bits)
+                hit = np.flatnonzero(ok & (bloom[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool))
+                for d, x in zip(doc[hit].tolist(), h[hit].view(np.int64).tolist()):
+                    found.setdefault(d, set()).add(x)
+            rows = sorted(found)
+            return pa.RecordBatch.from_arrays([pa.array([ids[d] for d in rows], pa.int64()), pa.array([texts[d] for d in rows], pa.string()), pa.array([sorted(found[d]) for d in rows], pa.list_(pa.int64()))], names=["doc_id", "text", "hashes"])
 
         for b in batches:
             ids: list[int] = []
@@ -333,4 +413,25 @@ def _block(docs: DataFrame, items: list[tuple[int, str]], id_col: str, text_col:
                 yield flush(ids, texts)
 
     some = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null and text <> ''")
-    return some.mapInArrow(run, "doc_id bigint, item_id bigint")
+    hits = materialize(some.mapInArrow(scan, "doc_id bigint, text string, hashes array<bigint>").withColumn("uid", F.monotonically_increasing_id()), "hits")
+    small = lambda d: F.broadcast(d) if is_small(d) else d
+    pairs = hits.select("uid", F.explode("hashes").alias("hash")).join(small(pieces.select("hash", "cls")), "hash").select("uid", "cls").distinct()
+    block = F.floor((F.row_number().over(Window.partitionBy("uid").orderBy("cls")) - 1) / BLOCK)
+    asked = pairs.withColumn("block", block).join(small(classes), "cls").groupBy("uid", "block").agg(F.collect_list(F.struct("cls", "text")).alias("items"))
+    ready = asked.join(hits.select("uid", "doc_id", "text"), "uid").select("doc_id", "text", "items")
+    return ready.mapInArrow(_verify, "doc_id bigint, cls string").distinct().join(small(named.select("cls", "item_id").distinct()), "cls").select("doc_id", "item_id").distinct()
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents with their candidate items to documents with the items they hold; some documents at a time against all items
+    that one of them was given."""
+    for b in batches:
+        for at in range(0, b.num_rows, 256):
+            part = b.slice(at, 256)
+            ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
+            known: dict[str, str] = {}
+            for xs in part.column(2).to_pylist():
+                known.update((x["cls"], x["text"]) for x in xs)
+            names = sorted(known)
+            got = sorted(Index([(k, known[c]) for k, c in enumerate(names)]).search(texts))
+            yield pa.RecordBatch.from_arrays([pa.array([ids[d] for d, _ in got], pa.int64()), pa.array([names[k] for _, k in got], pa.string())], names=["doc_id", "cls"])
