@@ -1,15 +1,18 @@
 """Problem 6: the whole corpus as token ids of a public byte-level BPE.
 
-Texts of up to ``chunk`` characters are encoded whole, in one pass and without a shuffle. A longer text is spread
-over tasks as overlapping chunks. Each task finds its two cuts by pre-tokenising the overlap from two different
-starts: where both have a boundary at the same place they have resynchronised, and a boundary there does not
-depend on what came before. Both neighbours of a cut see the same overlap, so they agree on it. Each task
-encodes from cut to cut; the ids strung together are those of the whole text.
+A text of more than ``chunk`` characters is encoded as overlapping chunks. A cut between two chunks is found by
+pre-tokenising the overlap from two different starts: where both have a boundary at the same place they have
+resynchronised, and a boundary there does not depend on what came before. Both neighbours of a cut see the same
+overlap, so they agree on it. What lies from cut to cut is encoded; the ids strung together are those of the whole text.
+
+The chunks of a text of up to ``spread`` characters stay in one task, without a shuffle; those of a longer one are spread over
+tasks. Texts of one chunk are encoded as they are.
 
 Results for odd input:
   * null and empty texts give an empty list of ids, blank texts the ids of their blanks;
   * strings that look like special tokens are ordinary text;
-  * where an overlap holds no boundary (one letter run longer than it), the text is encoded in one task;
+  * where an overlap holds no boundary (one letter run longer than it), there is no cut, and a text that is spread over tasks is
+    encoded in one;
   * several rows with one id each give their own row, unless the text is long: ``doc_id`` is taken to be unique;
   * no rows give no rows; other columns are ignored.
 """
@@ -28,8 +31,8 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-#: Characters that one task encodes at once, and how far neighbours look across a cut.
-CHUNK, OVERLAP = 1 << 18, 1 << 12
+#: Characters of a chunk, how far neighbours look across a cut, and characters from which chunks are spread over tasks.
+CHUNK, OVERLAP, SPREAD = 1 << 10, 1 << 7, 1 << 18
 
 #: Fixed value: the pre-token pattern that belongs to the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -79,13 +82,33 @@ def _ids(lists: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values.astype(np.int32, copy=False)))
 
 
-def _encode_whole(docs: DataFrame, id_col: str, text_col: str, vocabulary: str) -> DataFrame:
+def cuts(text: str, chunk: int, overlap: int) -> list[int]:
+    """Where the chunks of a text begin and end."""
+    out = [0]
+    for at in range(chunk, len(text), chunk):
+        c = resync(text[at - overlap : at + overlap], overlap)
+        if c is not None:
+            out.append(at - overlap + c)
+    return [*out, len(text)]
+
+
+def _encode_local(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, chunk: int, overlap: int) -> DataFrame:
+    """Every text in one task, chunk by chunk."""
+
+    def one(enc, text: str | None) -> np.ndarray:  # noqa: ANN001
+        if not text:
+            return np.array([], np.int32)
+        if len(text) <= chunk:
+            return np.asarray(enc.encode_ordinary(text), dtype=np.int32)
+        at = cuts(text, chunk, overlap)
+        return np.concatenate([np.asarray(enc.encode_ordinary(text[a:b]), dtype=np.int32) for a, b in zip(at, at[1:])])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         for b in batches:
             for k in range(0, b.num_rows, 512):
                 part = b.slice(k, 512)
-                got = [np.asarray(enc.encode_ordinary(t), dtype=np.int32) if t else np.array([], np.int32) for t in part.column(1).to_pylist()]
+                got = [one(enc, t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), _ids(got)], names=[id_col, "ids"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, ids array<int>")
@@ -112,18 +135,19 @@ def _encode_chunks(chunks: DataFrame, id_col: str, vocabulary: str, chunk: int,
     return chunks.mapInArrow(run, f"`{id_col}` {chunks.schema[id_col].dataType.simpleString()}, no int, ok boolean, ids array<int>")
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP, spread: int = SPREAD) -> DataFrame:
     """(id, ids) of every row of ``docs``."""
     if overlap * 2 > chunk:
         raise ValueError("the overlap may be half a chunk at most")
     vocabulary = vocabulary or default_vocabulary()
     n = F.length(text_col)
-    short = _encode_whole(docs.where(n.isNull() | (n <= chunk)), id_col, text_col, vocabulary)
-
+    short = _encode_local(docs.where(n.isNull() | (n <= spread)), id_col, text_col, vocabulary, chunk, overlap)
+    # chunks that are worth a task of their own
+    chunk, overlap = max(chunk, spread), max(overlap, min(spread // 2, 1 << 12))
     at = F.col("no") * chunk
     begin = F.greatest(at - overlap, F.lit(0))
     chunks = (
-        docs.where(n > chunk)
+        docs.where(n > spread)
         .select(id_col, F.col(text_col).alias("__text"), F.explode(F.sequence(F.lit(0), F.ceil(F.length(text_col) / chunk).cast("int") - 1)).alias("no"))
         .select(id_col, "no", (at + chunk >= F.length("__text")).alias("last"), F.substring("__text", begin + 1, at + chunk + overlap - begin).alias("piece"))
     )
@@ -137,10 +161,21 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
         .groupBy(id_col)
         .agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("no", "ids"))), lambda p: p["ids"])).alias("ids"))
     )
-    whole = _encode_whole(docs.where(n > chunk).join(stuck, id_col, "left_semi"), id_col, text_col, vocabulary)
+    whole = _encode_local(docs.where(n > spread).join(stuck, id_col, "left_semi"), id_col, text_col, vocabulary, chunk, overlap)
     return short.unionByName(long).unionByName(whole)
 
 
+def chunks_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """(id, chunks): of how many pieces the ids of each text are strung together; null and empty texts have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = [len(cuts(t, chunk, overlap)) - 1 if t else 0 for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32())], names=[id_col, "chunks"])
+
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, chunks int")
+
+
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str | None = None) -> DataFrame:
     """(id, text): the bytes of the ids strung together. Null ids give a null text."""
     vocabulary = vocabulary or default_vocabulary()

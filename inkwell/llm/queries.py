@@ -68,6 +68,11 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode(read(spark, sf_dir, "documents"))
 
 
+def p6_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of how many pieces the ids of each document are strung together."""
+    return encoding.chunks_of(read(spark, sf_dir, "documents"))
+
+
 def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text of every document, decoded again from its ids; null texts come out empty."""
     return encoding.decode(p6_ids(spark, sf_dir)).select("doc_id", F.md5("text").alias("text_md5"), F.length("text").cast("bigint").alias("n_chars"))
@@ -95,6 +100,7 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_types": p5_types,
     "p6_ids": p6_ids,
+    "p6_chunks": p6_chunks,
     "p6_decoded": p6_decoded,
     "p7_found": p7_found,
     "p8_found": p8_found,

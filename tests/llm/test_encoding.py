@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from inkwell.llm.encoding import decode, default_vocabulary, encode, encoder, resync
+from inkwell.llm.encoding import chunks_of, decode, default_vocabulary, encode, encoder, resync
 
 WORDS = ["the", " table", "'s", "!!'", "it's", "  ", "\n\n", " ", "数式領域", "。", "1234", " 5", "é", "　", "<|endoftext|>", "---", "\t", "🙂", "ö̈"]
 
@@ -21,9 +21,11 @@ def test_chunks_equal_whole(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, ids string")
     enc = encoder(default_vocabulary())
     want = {r[0]: enc.encode_ordinary(r[1] or "") for r in rows}
-    for chunk, overlap in ((64, 32), (300, 50), (100000, 100)):
-        got = {r.doc_id: r.ids for r in encode(df, chunk=chunk, overlap=overlap).collect()}
+    for chunk, overlap, spread in ((64, 32, 64), (64, 32, 1000), (300, 50, 1 << 18), (100000, 100, 1 << 18)):
+        got = {r.doc_id: r.ids for r in encode(df, chunk=chunk, overlap=overlap, spread=spread).collect()}
         assert got == want
+    pieces = {r.doc_id: r.chunks for r in chunks_of(df, chunk=64, overlap=32).collect()}
+    assert sum(n > 1 for n in pieces.values()) > 60 and pieces[200] == pieces[201] == 0 and pieces[202] == pieces[203] == 1
     back = {r.doc_id: r.text for r in decode(encode(df, chunk=200, overlap=64)).collect()}
     assert back == {r[0]: r[1] or "" for r in rows}
 
