@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import corpus, problems, sql
+from . import corpus, problems, sql, workflow
 
 FLAGSHIP = "math_issue_lines"
 
 QUERIES = {
     **corpus.QUERIES,
+    **workflow.QUERIES,
     "p1_elements": problems.p1_elements,
     "p1_found": problems.p1_found,
     "p3_bins": problems.p3_bins,
@@ -15,4 +16,4 @@ QUERIES = {
     "p3_found": problems.p3_found,
 }
 
-SQL: dict[str, str] = sql.SQL
+SQL: dict[str, str] = sql.SQL | workflow.SQL

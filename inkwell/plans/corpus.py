@@ -198,7 +198,8 @@ def merged_sections(s: SparkSession, d: str) -> DataFrame:
 
 
 def page_issues(s: SparkSession, d: str) -> DataFrame:
-    return MG.math_issues(merged_pages(s, d))
+    """Lines that need review, of every document as a page of its folder."""
+    return MG.math_issues(docs(s, d).select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page"), "text"))
 
 
 def newest_listing(s: SparkSession, d: str) -> DataFrame:
@@ -342,8 +343,10 @@ def top_regions(s: SparkSession, d: str) -> DataFrame:
 
 
 def region_lines(s: SparkSession, d: str) -> DataFrame:
-    """Lines of each page, and the page's regions of up to 40 characters as snippets."""
-    return L.explode_lines(layouts(s, d).select("doc_id", "page", F.array_join(F.transform("detections", lambda x: F.coalesce(x["content"], F.lit(""))), "\n").alias("text")).dropDuplicates(["doc_id", "page"]).where("text is not null"), "doc_id", "page")
+    """Lines of each page; the lines of several layouts of one page follow each other."""
+    text = F.array_join(F.transform("detections", lambda x: F.coalesce(x["content"], F.lit(""))), "\n").alias("text")
+    per = layouts(s, d).where("detections is not null").groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("layout_id", text))).alias("t"))
+    return L.explode_lines(per.select("doc_id", "page", F.array_join(F.transform("t", lambda x: x["text"]), "\n").alias("text")), "doc_id", "page")
 
 
 def snippets(s: SparkSession, d: str) -> DataFrame:
@@ -583,7 +586,7 @@ def star_cube(s: SparkSession, d: str) -> DataFrame:
 
 
 def star_unordered(s: SparkSession, d: str) -> DataFrame:
-    return read(s, d, "customer").join(read(s, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+    return read(s, d, "customer").join(read(s, d, "orders"), (F.col("c_custkey") == F.col("o_custkey")) & (F.col("o_orderpriority") == "1-URGENT"), "left_anti").select("c_custkey", "c_name")
 
 
 def star_ranks(s: SparkSession, d: str) -> DataFrame:

@@ -42,6 +42,17 @@ def inspect(listing: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     return wanted.join(found, "path", "left").withColumn("note", F.when(F.col("kind").isNull(), "not found").otherwise(F.col("note")))
 
 
+def pdf_page_count(content: Column) -> Column:
+    """SRC-02: struct of ``pages`` and ``note`` of a PDF's bytes: its page objects, as far as they are not in compressed streams,
+    else the count that its page tree states; null with a note where there is neither."""
+    text = F.decode(content, "iso-8859-1")
+    objects = F.regexp_count(text, F.lit(r"/Type\s*/Page(?![a-zA-Z])"))
+    stated = F.regexp_extract(text, r"/Type\s*/Pages\b[^>]*?/Count\s+([0-9]+)", 1).try_cast("int")
+    n = F.when(objects > 0, objects).otherwise(stated)
+    note = F.when(content.isNull() | ~text.startswith("%PDF-"), "no PDF").when(n.isNull(), "no pages found")
+    return F.struct(F.when(note.isNull(), n).cast("int").alias("pages"), note.alias("note"))
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """SRC-03: Markdown of pages and parts in the order of their numbers; other files are left out."""
     raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
