@@ -118,19 +118,6 @@ _INSIDE = "(?<=[a-z])[一-鿿](?=[a-z])|(?<=[a-zß-ÿ])[À-ÖØ-Þ](?=[a-zß-ÿ]
 _JIS = re.compile(r"\x1b?\$[@B](?:[!-~]{2})+?(?:\x1b?\([BJ]|$)", re.M)
 
 
-@lru_cache(maxsize=1)
-def jvm_pattern() -> str:
-    """The same for the JVM, half-width kana included: rows without a match need not be looked at."""
-    ranges, out = sorted(map(ord, sound())), ""
-    start = last = ranges[0]
-    for n in [*ranges[1:], -1]:
-        if n != last + 1:
-            out += f"\\x{{{start:x}}}-\\x{{{last:x}}}"
-            start = n
-        last = n
-    return f"[^{out}]|{_INSIDE}|[｡-ﾟ]|\\$[@B][!-~]{{2}}"
-
-
 _SAMPLES = re.compile(rf"「[^「」\n]{{1,{SAMPLE}}}」|\"[^\"\n]{{1,{SAMPLE}}}\"|“[^“”\n]{{1,{SAMPLE}}}”|'[^'\n]{{1,{SAMPLE}}}'")
 _LOST = re.compile("[�-\x80-\x84\x86-\x9f]")
 _WIDE_RUN = re.compile("[　-〿぀-ヿ㄀-㄰一-鿿豈-﫿＀-￯-]+[!-~]?")
@@ -467,9 +454,7 @@ def affected(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", source
         raise ValueError(f"more than {MAX_LEXICON} words; give a smaller lexicon")
     latin = sorted({w.lower() for w in words if re.match("[a-zà-ÿœß]", w.lower())})
     some = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(source_col), F.lit("")).alias("source"), F.col(text_col).alias("text")).where("text is not null")
-    # what needs no look never leaves the JVM, but for the bigrams of what is sound
-    odd = materialize(some.where(F.col("text").rlike(jvm_pattern())).dropDuplicates(["doc_id"]), "odd")
-    lm = Bigrams(_bigrams(some, latin))
+    odd, lm = _parted(some, latin)
     known = docs.sparkSession.sparkContext.broadcast(frozenset(latin) | {w for w in words if w[:1].isupper()})
     tables = _learned(odd, lm)
 
@@ -534,33 +519,39 @@ def _cased(word: str, known: frozenset[str]) -> str:
     return upper if word not in known and upper in known else word
 
 
-def _bigrams(texts: DataFrame, latin: list[str]) -> dict[tuple[str, str], float]:
-    """How often letters follow each other in words of the sound texts (and once in each word of the lexicon): a table of
-    the letters' number squared."""
-    letters = "^" + "".join(sorted({c for w in latin for c in w if c.isalpha() and ord(c) < 0x250} | set("abcdefghijklmnopqrstuvwxyz")))
-    k = len(letters)
+def _parted(texts: DataFrame, latin: list[str]) -> tuple[DataFrame, Bigrams]:
+    """The texts that need a closer look, each id once, and the letter bigrams of all others, by one pass. The bigrams (and those
+    of the lexicon's words, once each) are a table of the letters' number squared."""
+    alphabet = "^" + "".join(sorted({c for w in latin for c in w if c.isalpha() and ord(c) < 0x250} | set("abcdefghijklmnopqrstuvwxyz")))
+    k = len(alphabet)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = np.zeros(0x10000, np.int64)
-        for n, c in enumerate(letters[1:], 1):
+        for n, c in enumerate(alphabet[1:], 1):
             code[ord(c)] = n
             if len(c.upper()) == 1:
                 code[ord(c.upper())] = n
         total = np.zeros(k * k, np.int64)
+        foreign, half = _foreign(), _HALF
+        none = pa.array([None], pa.list_(pa.int64()))
+        names = ["doc_id", "source", "text", "counts"]
         for b in batches:
-            text = "\n" + "\n".join(b.column(0).to_pylist()) + "\n"
-            c = code[np.minimum(np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32), 0xFFFF)]
+            texts = b.column(2).to_pylist()
+            odd = np.array([bool(foreign.search(t) or half.search(t)) for t in texts], dtype=bool)
+            sound_text = "\n" + "\n".join(t for t, o in zip(texts, odd) if not o) + "\n"
+            c = code[np.minimum(np.frombuffer(sound_text.encode("utf-32-le", "replace"), np.uint32), 0xFFFF)]
             total += np.bincount(c[:-1] * k + c[1:], minlength=k * k)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["k", "n"])
+            at = pa.array(np.flatnonzero(odd))
+            yield pa.RecordBatch.from_arrays([*(b.column(j).take(at) for j in range(3)), none.take(pa.array(np.zeros(len(at), np.int64)))], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.string()), pa.array([None], pa.string()), pa.array([total.tolist()], pa.list_(pa.int64()))], names=names)
 
+    both = materialize(texts.mapInArrow(run, "doc_id bigint, source string, text string, counts array<bigint>"), "odd")
     out: Counter = Counter(p for w in latin for p in zip("^" + w, w + "$"))
-    sound_texts = texts.where(~F.col("text").rlike(jvm_pattern())).select("text")
-    for r in sound_texts.mapInArrow(run, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).collect():
-        a, b = letters[r.k // k], letters[r.k % k]
+    for r in both.where("counts is not null").select(F.posexplode("counts").alias("k", "n")).where("n > 0").groupBy("k").agg(F.sum("n").alias("n")).collect():
+        a, b = alphabet[r.k // k], alphabet[r.k % k]
         if (a, b) != ("^", "^"):
             out[a, "$" if b == "^" else b] += r.n
-    return dict(out)
+    return both.where("counts is null").drop("counts").dropDuplicates(["doc_id"]), Bigrams(out)
 
 
 #: Groups that sources are put into for the learning; all sources of a group are learned at once, each for itself.

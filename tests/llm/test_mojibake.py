@@ -1,7 +1,6 @@
 """Problem 8: damage of known kinds put on sound text, and a cipher that nobody told about."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from inkwell.llm import mojibake as m
 
@@ -91,11 +90,11 @@ def test_units_are_learned_without_code_pages(shown):
     assert m.learn_units([], lm) == {}
 
 
-def test_the_jvm_sees_what_python_sees(spark):
-    texts = ["", "sound ü é", "ﾃﾞｰﾀ", "gr\xc3\xb6", "a眉b", "fÈr", "x÷y", "$B$b$7$7", "表計算", "a \x85 b", "gr”er", "“quoted”", "😀", "Ã Â"]
-    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
-    got = {r.i for r in df.where(F.col("t").rlike(m.jvm_pattern())).collect()}
-    assert got == {i for i, t in enumerate(texts) if m._foreign().search(t) or m._HALF.search(t)} | {7}
+def test_parted(spark):
+    texts = ["", "sound ü é", "ﾃﾞｰﾀ", "gr\xc3\xb6", "a眉b", "fÈr", "x÷y", "$B$b$7$7(B", "表計算", "a \x85 b", "gr”er", "“quoted”", "😀", "Ã Â"]
+    odd, lm = m._parted(spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "doc_id bigint, source string, text string"), ["für"])
+    assert {r.doc_id for r in odd.collect()} == {2, 3, 4, 5, 6, 7, 10, 12, 13} | {i for i, t in enumerate(texts) if m._foreign().search(t)}
+    assert lm.targets == ["ü"] and lm.p[lm.i["s"]].argmax() == lm.j["o"]  # of sound, and of nothing that needs a look
 
 
 def test_bigrams_learn_an_unknown_page(spark):
