@@ -3,6 +3,7 @@
 import unicodedata
 from collections import defaultdict
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -23,7 +24,7 @@ CASES = ["ﾃﾞｰﾀ ｼｰﾄ", "Café区分", "Café区分", "Сafé区分"
 def test_forms(spark):
     rows = [(i, t, "a", "b") for i, t in enumerate(CASES * 2)] + [(999, None, "a", "b")]
     df = spark.createDataFrame(rows, "id bigint, text string, sub string, to string")
-    got = {r.id: r.form for r in u.unify(df, "text").collect()}
+    got = {r.id: r.form for r in u.unify(df, "text", keys=True).collect()}
     assert len(got) == len(rows)
     assert got[999] is None
     for i, t, *_ in rows[:-1]:
@@ -35,6 +36,30 @@ def test_forms(spark):
     assert form["q̣̇"] == form["q̣̇"]
 
 
+def test_canonically_equal_texts_are_one(spark):
+    """Every assigned character with a canonical decomposition, syllables of Hangul included, and clusters of many marks."""
+    chars = [chr(n) for n in range(0x110000) if not 0xD800 <= n <= 0xDFFF and unicodedata.normalize("NFD", chr(n)) != chr(n)]
+    chars += ["q\u0323\u0307\u0301", "a\u0323\u0302\u0308", "e\u0301\u0323\u0302", "한글 텍스트", "ệ́x", "カ゛ガ"]
+    rows = [(i, k, unicodedata.normalize(k, c)) for i, c in enumerate(chars) for k in ("NFC", "NFD")]
+    df = spark.createDataFrame(rows, "id int, kind string, text string")
+    for keys in (True, False):
+        got: dict = defaultdict(set)
+        for r in u.unify(df, "text", keys=keys).collect():
+            got[r.id].add(r.form)
+        assert not [chars[i] for i, f in got.items() if len(f) != 1]
+        assert got[chars.index("한")] == {"한"} and got[chars.index("ộ")] == {"ộ"} and got[len(chars) - 3] == {"한글 텍스트"}
+        assert got[chars.index("q\u0323\u0307\u0301")] == {unicodedata.normalize("NFC", "q\u0323\u0307\u0301")}
+        assert got[chars.index("e\u0301\u0323\u0302")] == {unicodedata.normalize("NFC", "e\u0301\u0323\u0302")}
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("工場の人口は三千人", "工場の人口は三千人"), ("人ロと工場", "人口と工場"), ("デー夕ベース", "データベース"), ("工ラー", "エラー"), ("デ一タ", "データ"), ("Сafé Москва", "Café Москва"), ("Ωmega Αlpha αβγ", "Ωmega Alpha αβγ"),
+    ("ｶﾞｲﾄﾞ　第１回", "ガイド 第1回"), ("データへ移す", "データへ移す"), ("表二 — 三", "表二 — 三"), ("キー入力", "キー入力"), ("データ二件", "データ二件"), ("x\u200by", "xy"),
+])
+def test_output_keeps_what_is_right(spark, text, want):
+    assert u.unify(spark.createDataFrame([(text,)], "text string"), "text").first().form == want
+
+
 def test_passed_by_is_exact():
     """A text made of characters that the shortcut passes by keeps its form."""
     ranges = [tuple(int(x[3:-1], 16) for x in p.split("-")) for p in u._safe_class().removesuffix("\\n").replace("}\\x", "} \\x").split()]
