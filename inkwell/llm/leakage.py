@@ -4,14 +4,15 @@ Texts become sequences of units: words for text in Latin script, letters for tex
 case, width, blanks, line breaks, punctuation and markup. A document leaks an item if it holds a run of ``run``
 or more of its units (or the whole of a shorter item) with at most one in ``per`` changed, left out or put in.
 
-Pigeonhole: a run with at most e errors holds one of its e + 1 pieces unchanged. All pieces of all items are a table of
-(hash, item), however many items there are. One scan of the documents hashes their windows of a piece's length by vector
-operations and keeps, by a Bloom filter over the table, the documents that may hold a piece, with the hashes in question. An
-equi-join of these hashes with the table (broadcast if it is small, else shuffled, and split where a piece is hot)
-gives each document its candidate items; a last pass verifies them. There, hits on one diagonal are strung together; a
-string as long as a run is a find. Of the others, runs around the hit are counted unit by unit, with shifts, which gives an
-upper bound of what can match; where that allows a find, Myers' bit-parallel edit distance decides. No piece is skipped
-because it is common. Items with one text are searched as one.
+Pigeonhole: a run with at most e errors holds one of its e + 1 pieces unchanged; cut shorter, so many of its pieces stay
+unchanged that they tell a leak from a phrase that texts share. All short pieces of all items are a table of (hash, item),
+however many items there are. One scan of the documents hashes their windows by vector operations and keeps, by a Bloom filter
+over the table, the stretches in which as many windows are pieces as a run needs. An equi-join of their hashes with the table
+(broadcast if it is small, else shuffled, and split where a piece is hot) counts the pieces that a document and an item
+share; those with enough are verified. There, hits of longer pieces on one diagonal are strung together; a string as long as a
+run is a find. Of the others, runs around the hit are counted unit by unit, with shifts, which gives an upper bound of what
+can match; where that allows a find, Myers' bit-parallel edit distance decides. No piece is skipped because it is common.
+Items with one text are searched as one.
 
 Results for odd input:
   * null, empty and blank documents and items leak nothing;
@@ -38,10 +39,16 @@ from ..session import is_small, materialize
 
 @dataclass(frozen=True)
 class Budget:
-    """A run has at least ``run`` units, with at most one error in ``per`` of them."""
+    """A run has at least ``run`` units, with at most one error in ``per`` of them. ``short``: units of the pieces that are
+    counted."""
 
     run: int
     per: int
+    short: int = 4
+
+    def need(self, n: int, e: int) -> int:
+        """Short pieces of a run of ``n`` units that ``e`` errors leave unchanged, at least: an error is in ``short`` of them."""
+        return max(1, n - self.short + 1 - e * self.short)
 
     @property
     def windows(self) -> list[tuple[int, int]]:
@@ -69,9 +76,10 @@ class Budget:
         return [(n, e)]
 
 
-WORDS, LETTERS = Budget(16, 10), Budget(40, 15)
-#: Candidate items that are verified at once, and bits of the Bloom filter for each piece and at most.
-BLOCK, BITS_EACH, MOST_BITS = 200, 12, 28
+WORDS, LETTERS = Budget(16, 10, 4), Budget(40, 15, 8)
+#: Candidate items that are verified at once; bits of the Bloom filter for each piece, its bits at most (as a power of two), and
+#: what a hash is multiplied with for each look into it.
+BLOCK, BITS_EACH, MOST_BITS, PROBES = 200, 32, 30, (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 _TAG = re.compile(r"<[^<>\n]{1,200}>")
 _BROKEN = re.compile(r"(?<=[^\W\d_])[-‐‑\xad¬]\s*\n\s*(?=[^\W\d_])")
@@ -325,27 +333,31 @@ def units_of(text: str | None, item: bool) -> list[tuple[int, np.ndarray]]:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of the windows of items: of a piece's length, of shorter items the whole."""
+    """Short pieces of items, with how often an item has each, how many it must share, and its units (of a run at most). An
+    item shorter than a piece is one itself."""
     for b in batches:
-        rows: list[tuple[int, int, int, str]] = []
+        rows: list[tuple] = []
         for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             for side, u in units_of(text, True):
-                q = min((WORDS, LETTERS)[side].piece, len(u))
+                budget = (WORDS, LETTERS)[side]
+                q = min(budget.short, len(u))
                 if q:
-                    h, _ = _hashes(u, q)
-                    rows += [(side, q, x, key) for x in np.unique(h).view(np.int64).tolist()]
-        cols = list(zip(*rows)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.string()))], names=["side", "length", "hash", "cls"])
+                    h, n = np.unique(_hashes(u, q)[0], return_counts=True)
+                    need = min(budget.need(*x) for x in budget.of(len(u)))
+                    rows += [(side, q, x, key, k, need, min(len(u), budget.run)) for x, k in zip(h.view(np.int64).tolist(), n.tolist())]
+        cols = list(zip(*rows)) or [()] * 7
+        types = (pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["side", "length", "hash", "cls", "times", "need", "units"])
 
 
 def _bloom(pieces: DataFrame, bits: int) -> np.ndarray:
-    """One bit for the upper bits of each hash; made in parts of 64 KB, which meet part by part."""
+    """Some bits for each hash; made in parts of 64 KB, which meet part by part."""
     part = 16  # bytes of a part, as a power of two
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, np.ndarray] = {}
         for b in batches:
-            at = np.asarray(b.column(0)).view(np.uint64) >> np.uint64(64 - bits)
+            at = np.concatenate([_probe(np.asarray(b.column(0)).view(np.uint64), p, bits) for p in PROBES])
             for k in np.unique(at >> np.uint64(part + 3)).tolist():
                 own = at[at >> np.uint64(part + 3) == k] & np.uint64((1 << (part + 3)) - 1)
                 np.bitwise_or.at(parts.setdefault(k, np.zeros(1 << part, np.uint8)), (own >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (own & np.uint64(7)).astype(np.uint8)))
@@ -359,6 +371,32 @@ def _bloom(pieces: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
+def _probe(h: np.ndarray, times: int, bits: int) -> np.ndarray:
+    return h * np.uint64(times) >> np.uint64(64 - bits)
+
+
+def _held(bloom: np.ndarray, h: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
+    """The places ``at`` whose hashes the filter may hold."""
+    for p in PROBES:
+        bit = _probe(h[at], p, bits)
+        at = at[(bloom[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
+    return at
+
+
+def _dense(hit: np.ndarray, size: int, runs: list[tuple[int, int]]) -> np.ndarray:
+    """Of the places ``hit`` (of ``size``) those that lie in a stretch with enough of them. ``runs``: (stretch, hits in it)."""
+    mark = np.zeros(size, np.int32)
+    mark[hit] = 1
+    total = np.concatenate([[0], np.cumsum(mark)])
+    keep = np.zeros(size + 1, np.int32)
+    for span, least in runs:
+        span = min(span, size)
+        start = np.flatnonzero(total[span:] - total[:-span] >= least)
+        np.add.at(keep, start, 1)
+        np.add.at(keep, start + span, -1)
+    return hit[np.cumsum(keep)[hit] > 0]
+
+
 def _spread(rows: list[np.ndarray], pad: int) -> tuple[np.ndarray, np.ndarray]:
     """Units of several texts in a row, with a 0 between and many at the ends, and the text of each."""
     gap, edge = np.zeros(1, np.int64), np.zeros(pad, np.int64)
@@ -371,10 +409,15 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     spark = docs.sparkSession
     named = items.where("text is not null").select("item_id", "text", F.md5("text").alias("cls"))
     classes = materialize(named.groupBy("cls").agg(F.first("text").alias("text")), "items")
-    pieces = materialize(classes.mapInArrow(_pieces, "side int, length int, hash bigint, cls string").distinct(), "pieces")
+    pieces = materialize(classes.mapInArrow(_pieces, "side int, length int, hash bigint, cls string, times int, need int, units int"), "pieces")
     n = pieces.count()
     bits = min(MOST_BITS, max(10, (BITS_EACH * max(n, 1)).bit_length()))
-    lengths = [(r.side, r.length) for r in pieces.select("side", "length").distinct().collect()]  # as many as units of a piece, at most
+    stretches: dict[tuple[int, int], set[tuple[int, int]]] = {}
+    for r in pieces.select("side", "length", "units").distinct().collect():  # as many as there are units in a run, at most
+        budget = (WORDS, LETTERS)[r.side]
+        runs = budget.windows if r.units == budget.run else budget.of(r.units)
+        stretches.setdefault((r.side, r.length), set()).update((n + e - r.length + 1, budget.need(n, e)) for n, e in runs)
+    lengths = [(side, q, sorted(runs)) for (side, q), runs in sorted(stretches.items())]
     shared = spark.sparkContext.broadcast(_bloom(pieces, bits))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,11 +431,10 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
                 for k in (0, 1):
                     sides[k].append(got.get(k, none))
             found: dict[int, set[int]] = {}
-            for side, q in lengths:
+            for side, q, runs in lengths:
                 units, doc = _spread(sides[side], q)
                 h, ok = _hashes(units, q)
-                at = h >> np.uint64(64 - bits)
-                hit = np.flatnonzero(ok & (bloom[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool))
+                hit = _dense(_held(bloom, h, np.flatnonzero(ok), bits), len(h), runs)
                 for d, x in zip(doc[hit].tolist(), h[hit].view(np.int64).tolist()):
                     found.setdefault(d, set()).add(x)
             rows = sorted(found)
@@ -415,7 +457,8 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     some = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null and text <> ''")
     hits = materialize(some.mapInArrow(scan, "doc_id bigint, text string, hashes array<bigint>").withColumn("uid", F.monotonically_increasing_id()), "hits")
     small = lambda d: F.broadcast(d) if is_small(d) else d
-    pairs = hits.select("uid", F.explode("hashes").alias("hash")).join(small(pieces.select("hash", "cls")), "hash").select("uid", "cls").distinct()
+    pairs = hits.select("uid", F.explode("hashes").alias("hash")).join(small(pieces.select("hash", "cls", "times", "need")), "hash")
+    pairs = pairs.groupBy("uid", "cls").agg(F.sum("times").alias("n"), F.max("need").alias("need")).where("n >= need").select("uid", "cls")
     block = F.floor((F.row_number().over(Window.partitionBy("uid").orderBy("cls")) - 1) / BLOCK)
     asked = pairs.withColumn("block", block).join(small(classes), "cls").groupBy("uid", "block").agg(F.collect_list(F.struct("cls", "text")).alias("items"))
     ready = asked.join(hits.select("uid", "doc_id", "text"), "uid").select("doc_id", "text", "items")

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from inkwell.llm import leakage
@@ -97,6 +98,33 @@ def test_myers():
         assert myers(a, b) == want
 
 
+def test_dense():
+    """Against every stretch."""
+    rng = random.Random(9)
+    for _ in range(200):
+        n = rng.randrange(1, 60)
+        hit = np.array(sorted(rng.sample(range(n), rng.randrange(0, n + 1))), dtype=np.int64)
+        runs = [(rng.randrange(1, 30), rng.randrange(1, 8)) for _ in range(rng.randrange(1, 3))]
+        there = set(hit.tolist())
+        good = {x for span, least in runs for a in range(max(1, n - min(span, n) + 1)) if len(there & set(range(a, a + min(span, n)))) >= least for x in range(a, a + min(span, n))}
+        assert leakage._dense(hit, n, runs).tolist() == sorted(there & good)
+
+
+def test_needed_pieces_are_there():
+    """A run with errors keeps at least as many of its short pieces as is asked for."""
+    rng = random.Random(2)
+    for budget in (WORDS, LETTERS):
+        for n, e in budget.windows:
+            for _ in range(30):
+                run = [rng.randrange(10**6) for _ in range(n)]
+                bad = list(run)
+                for _ in range(e):
+                    k = rng.randrange(len(bad))
+                    bad[k : k + 1] = rng.choice([[-1], [], [bad[k], -1]])
+                have = {tuple(bad[i : i + budget.short]) for i in range(len(bad))}
+                assert sum(tuple(run[i : i + budget.short]) in have for i in range(n - budget.short + 1)) >= budget.need(n, e)
+
+
 def test_pieces():
     assert WORDS.windows == [(16, 1), (20, 2), (30, 3)] and WORDS.piece == 6
     assert LETTERS.windows == [(40, 2), (45, 3), (60, 4), (75, 5)] and LETTERS.piece == 11
