@@ -2,7 +2,7 @@
 
 Damage inside words of Latin script is the cipher of a substitution: each unit of one to four characters that should not be
 there stands for one letter (UTF-8 shown in a one-byte code page makes several characters of a letter, one code page shown in
-another makes one). Nothing is assumed about the code pages. Per source, the letter behind each unit, and where one unit ends
+another makes one). Nothing is assumed about the code pages. Per source (starting from what all sources show), the letter behind each unit, and where one unit ends
 and the next begins, are learned by expectation-maximization: the posterior of the letters of a run, given the letters
 around it, is the product of the units' learned shares and the letter bigrams of the sound documents. What is learned is
 applied as a translation of units; a word counts if the result is a word of the lexicon or reads like one by the bigrams.
@@ -11,7 +11,8 @@ What learning letter by letter can't restore is left to an exit, which is counte
 one document shows few), signs, and damage of which a source has too little. There, known code pages are turned back: what was
 shown becomes the bytes it must have come from, run by run, and these are read as the encoding that was meant, as often as it
 takes. A reading counts only if it is valid and consists of plausible letters in plausible places, while what was shown
-does not. Text of which bytes were lost (replacement characters) is reported, too, but cannot be restored.
+does not. Text of which bytes were lost (replacement characters), or with several words that hold what no word can and that nothing explains, is reported, too, but cannot be
+restored.
 
 Results for odd input:
   * null, empty and blank texts are not affected;
@@ -318,6 +319,8 @@ _RUN = re.compile(r"[^\x00-\x7f]+")
 UNIT, RUN, LETTERS_OF_RUN = 4, 8, 2
 #: How sure a unit's letter must be, and how well a restored word must read (mean log of its bigrams) if the lexicon hasn't it.
 SURE, READS, MOST_WORDS = 0.6, -2.35, 0.8
+#: Words with signs inside that tell damage even if nothing explains it.
+UNEXPLAINED = 3
 
 
 @lru_cache(maxsize=1)
@@ -373,14 +376,36 @@ class Bigrams:
         return sum(math.log(self.p[self.i[a], self.j[b]] if a in self.i and b in self.j else 1e-5) for a, b in zip("^" + w, w + "$")) / (len(w) + 1)
 
 
-def learn_units(rows: list[tuple[int, str, str, str, int]], lm: Bigrams, rounds: int = 25) -> dict[tuple[int, str], tuple[str, float]]:
+#: Occurrences that what all sources show of a unit counts for in each of them.
+STRENGTH = 4.0
+
+Contexts = list[tuple[int, str, str, str, int]]
+
+
+def learn_units(rows: Contexts, lm: Bigrams, rounds: int = 25) -> dict[tuple[int, str], tuple[str, float]]:
     """(letter, share) behind each unit of each source, from (source, run, letter before, letter behind, count).
 
+    A first round of learning takes all sources as one, and what it shows of a unit is where each source's own learning
+    starts, and counts there for a few occurrences: a source with one damaged page has too little of its own.
+    """
+    if not rows or not lm.targets:
+        return {}
+    pooled: Counter = Counter()
+    for _, run, a, b, n in rows:
+        pooled[run, a, b] += n
+    ids, gain = _maximize([(0, *x, n) for x, n in pooled.items()], lm, rounds, None)
+    prior = {u: gain[k] / max(gain[k].sum(), 1e-9) for (_, u), k in ids.items()}
+    ids, gain = _maximize(rows, lm, rounds, prior)
+    best, mass = gain.argmax(axis=1), gain.sum(axis=1)
+    return {u: (lm.targets[best[k]], float(gain[k, best[k]] / mass[k])) for u, k in ids.items() if mass[k] > STRENGTH + 0.5}
+
+
+def _maximize(rows: Contexts, lm: Bigrams, rounds: int, prior: dict[str, np.ndarray] | None) -> tuple[dict[tuple[int, str], int], np.ndarray]:
+    """Expectation-maximization: the units (by source), and how often each stands for each letter.
+
     A run is one unit, or two in every way it can be cut. All runs of all sources are gone through at once, as arrays.
     """
     t = len(lm.targets)
-    if not rows or not t:
-        return {}
     ids: dict[tuple[int, str], int] = {}
     one: list[tuple] = []
     two: list[tuple] = []
@@ -399,7 +424,8 @@ def learn_units(rows: list[tuple[int, str, str, str, int]], lm: Bigrams, rounds:
     head_o, tail_o = p[o[:, 2]][:, at_j], p[at_i][:, o[:, 3]].T
     head_w, tail_w = p[w[:, 3]][:, at_j], p[at_i][:, w[:, 4]].T
     inner = p[np.ix_(at_i, at_j)]
-    share = np.full((len(ids), t), 1.0 / t)
+    base = np.zeros((len(ids), t)) if prior is None else np.stack([prior.get(u, np.zeros(t)) for _, u in ids]) * STRENGTH
+    share = np.full((len(ids), t), 1.0 / t) if prior is None else (base + 0.1) / (base + 0.1).sum(axis=1, keepdims=True)
     total = np.zeros(len(rows))
     # how long the units of each source are: learned, too, for all letters of a code page have about one length
     source = np.array([s for s, _ in ids])
@@ -419,15 +445,14 @@ def learn_units(rows: list[tuple[int, str, str, str, int]], lm: Bigrams, rounds:
         weight = (w[:, 5] / total[w[:, 0]])[:, None]
         np.add.at(gain, w[:, 2], sw * weight)
         np.add.at(gain, w[:, 1], left * (right @ inner.T) * weight)
+        gain += np.where(gain.sum(axis=1, keepdims=True) > 0.05, base, 0)
         mass = gain.sum(axis=1, keepdims=True)
         long[:] = 0.02
         np.add.at(long, (source, length), mass[:, 0])
         long /= long.sum(axis=1, keepdims=True)
         # a unit's share of letters, and how much it is needed at all, so that one unit wins over two that nothing else shows
         share = np.where(mass > 0, (gain + 0.01) / (mass + 0.01 * t), share) * (mass / (mass + 0.5))
-    best = share.argmax(axis=1)
-    mass = gain.sum(axis=1)
-    return {u: (lm.targets[best[k]], float(gain[k, best[k]] / mass[k])) for u, k in ids.items() if mass[k] > 0.5}
+    return ids, gain
 
 
 def translate(word: str, units: dict[str, str], longest: int) -> str:
@@ -477,7 +502,7 @@ def put_right(text: str, units: dict[str, str], known: frozenset[str], lm: Bigra
     if not _foreign().search(text) and not _HALF.search(text):
         return text, 0, 0
     longest = max(map(len, units), default=0)
-    out, words, lines = [], 0, 0
+    out, words, lines, left = [], 0, 0, 0
     for line in re.split("(\r\n|\n|\r)", text):
         if not (_foreign().search(line) or _HALF.search(line)):
             out.append(line)
@@ -502,7 +527,8 @@ def put_right(text: str, units: dict[str, str], known: frozenset[str], lm: Bigra
             rest, n = restore(line)
             out.append(rest)
             lines += n
-    return "".join(out), words, lines
+            left += 0 if n else sum(len(m.group()) >= 4 for m in tokens)
+    return "".join(out), words, lines or int(not words and left >= UNEXPLAINED)
 
 
 def _reads(word: str, known: frozenset[str], lm: Bigrams) -> bool:
@@ -554,8 +580,8 @@ def _parted(texts: DataFrame, latin: list[str]) -> tuple[DataFrame, Bigrams]:
     return both.where("counts is null").drop("counts").dropDuplicates(["doc_id"]), Bigrams(out)
 
 
-#: Groups that sources are put into for the learning; all sources of a group are learned at once, each for itself.
-GROUPS = 64
+#: Contexts that are learned from at once: all those of some sources.
+CONTEXTS = 200_000
 
 
 def _learned(odd: DataFrame, lm: Bigrams) -> DataFrame:
@@ -572,6 +598,8 @@ def _learned(odd: DataFrame, lm: Bigrams) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols), pa.array(list(got.values()), pa.int64())], names=["source", "run", "a", "b", "n"])
 
     each = odd.select("source", "text").mapInArrow(contexts, "source string, run string, a string, b string, n bigint").groupBy("source", "run", "a", "b").agg(F.sum("n").alias("n"))
+    each = materialize(each, "contexts")
+    groups = -(-max(1, each.count()) // CONTEXTS)
 
     def some(pdf: pd.DataFrame) -> pd.DataFrame:
         names = {s: k for k, s in enumerate(sorted(set(pdf["source"])))}
@@ -589,5 +617,5 @@ def _learned(odd: DataFrame, lm: Bigrams) -> DataFrame:
         return pd.DataFrame({"source": list(names), "units": [units[k] for k in names.values()]})
 
     # rows are cipher and neighbours, not documents: a hot source is one group of bounded size
-    grouped = each.withColumn("g", F.pmod(F.xxhash64("source"), F.lit(GROUPS))).groupBy("g").applyInPandas(some, "source string, units array<string>")
+    grouped = each.withColumn("g", F.pmod(F.xxhash64("source"), F.lit(groups))).groupBy("g").applyInPandas(some, "source string, units array<string>")
     return small_or_not(grouped, "ciphers")

@@ -63,6 +63,13 @@ def test_seven_bit_japanese(text):
     assert m.restore("$B = 3$ and $A_1 + B_2$ $Bxy") == ("$B = 3$ and $A_1 + B_2$ $Bxy", 0)
 
 
+def test_unexplained_words():
+    lm, known = m.Bigrams.of_words(WORDS), frozenset(WORDS)
+    assert m.put_right("Der prѪfѮr der wѮrѪt und gѪbѪѮr", {}, known, lm) == ("Der prѪfѮr der wѮrѪt und gѪbѪѮr", 0, 1)
+    assert m.put_right("Code chart row C: Ã Â Ä Å / x prѪfѮr", {}, known, lm)[1:] == (0, 0)
+    assert m.put_right("", {}, known, lm) == ("", 0, 0)
+
+
 def test_five_times():
     bad = "Die Größe"
     for _ in range(5):
