@@ -13,7 +13,7 @@ D = "/root/testdata/sf0.001"
 def test_entry_points():
     e = importlib.import_module("__spark_entry__")
     q, s = e.queries(), e.oracle_sql()
-    assert set(s) <= set(q) and len(q) > 80
+    assert set(s) <= set(q) and len(q) > 130 and len(set(q) - set(s)) < 25
     assert all(n in q for n in ("p1_found", "p3_found"))
 
 
@@ -26,7 +26,7 @@ def test_without_subpackage(monkeypatch):
 
 
 @pytest.mark.skipif(not os.path.exists(D), reason="no test data")
-@pytest.mark.parametrize("name", ["math_issue_lines", "table_segments", "plain_text", "top_regions", "job_progress", "merged_sections"])
+@pytest.mark.parametrize("name", ["math_issue_lines", "table_segments", "plain_text", "top_regions", "job_progress", "merged_sections", "segment_headers", "workbook_facts", "line_links", "refined_pages", "document_tables", "log_shapes", "layout_csv", "p1_typed", "p3_compacted"])
 def test_against_sql(spark, name):
     e = importlib.import_module("__spark_entry__")
     con = duckdb.connect()
