@@ -149,3 +149,17 @@ def test_recognizer_slot(spark):
 
     df = spark.createDataFrame([("a",), ("b",)], "name string")
     assert {tuple(r) for r in S.recognized(df, load, "name string, text string").collect()} == {("a", "A"), ("b", "B")}
+
+
+def test_documents_have_volumes(spark):
+    rows = [("hot", k, "paragraph", None, f"t{k}") for k in range(25)] + [("a", 3, "paragraph", None, "x"), (None, 1, "paragraph", None, "y")]
+    made = O.documents(spark.createDataFrame(rows, "doc_id string, block int, kind string, level int, text string"), per_volume=10).collect()
+    assert sorted(map(str, ((r.doc_id, r.volume) for r in made))) == sorted(map(str, [("hot", 1), ("hot", 2), ("hot", 3), ("a", 1), (None, 1)]))
+    texts = {r.volume: zipfile.ZipFile(io.BytesIO(r.content)).read("word/document.xml").decode() for r in made if r.doc_id == "hot"}
+    assert "t0<" in texts[1] and "t9<" in texts[1] and "t10<" in texts[2] and "t24<" in texts[3]
+
+
+def test_pdf_pages(spark):
+    rows = [(1, b"%PDF-1.4 << /Type /Page /x >> << /Type/Page>> << /Type /Pages >>"), (2, b"%PDF-1.7 << /Type /Pages /Kids [] /Count 12 >>"), (3, b"%PDF-1.7 xx"), (4, b"PK"), (5, None), (6, b"")]
+    got = {r.i: (r.p.pages, r.p.note) for r in spark.createDataFrame(rows, "i int, c binary").select("i", S.pdf_page_count(F.col("c")).alias("p")).collect()}
+    assert got == {1: (2, None), 2: (12, None), 3: (None, "no pages found"), 4: (None, "no PDF"), 5: (None, "no PDF"), 6: (None, "no PDF")}
