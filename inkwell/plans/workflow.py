@@ -247,6 +247,11 @@ def review_headers(s: SparkSession, d: str) -> DataFrame:
     return h.select(*TB.KEYS, "segment", F.array_join(W.review_column(F.col("header"), F.col("width")), "|").alias("header"))
 
 
+def folder_issues(s: SparkSession, d: str) -> DataFrame:
+    """Lines that need review, of every document as a page of its folder."""
+    return MG.math_issues(docs(s, d).select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page"), "text"))
+
+
 def _page_snippets(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The lines of the merged pages, and every third of them as a snippet of its page."""
     lines = L.explode_lines(merged_pages(s, d), "doc_id", "page")
@@ -343,6 +348,7 @@ _LINES = Q.lines(Q.MERGED, "doc_id, page")
 _SNIPS = f"(SELECT doc_id, page, CAST((line + 2) // 3 AS INTEGER) AS rank, printf('eq_page%03d_%02d.png', page, (line + 2) // 3) AS name, text FROM {_LINES} WHERE line % 3 = 1)"
 
 SQL = {
+    "folder_issues": Q.issues(Q.lines("(SELECT source AS doc_id, doc_id AS page, text FROM documents)", "doc_id, page"), "doc_id, page", r"[\x{3040}-\x{9FFF}]"),
     "line_candidates": f"SELECT doc_id, page, line, rank FROM {Q.contained(_LINES, _SNIPS)}",
     "line_matches": f"WITH RECURSIVE {Q.matched(_LINES, _SNIPS)} SELECT * FROM placed",
     "line_links": Q.linked(_LINES, _SNIPS),

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.cells import table_name, typed_value
 from ..functions.text import plain_text
 from ..operators import tables as T
+from ..operators.ranks import numbered
 from .office import SHEETS
 
 ROW = "array<struct<i:bigint,d:double,dt:date,s:string,fmt:string>>"
@@ -63,7 +64,8 @@ def layout_sheets(cells: DataFrame, prefix: str = "table", typed: bool = True, p
     spans = c.where("row_span > 1 or col_span > 1").groupBy(*keys).agg(F.array_sort(F.collect_list(merged)).alias("m"))
     grid = c.withColumn("__f", first).where("__f and row >= 1 and col >= 1").groupBy(*keys).agg(corners.alias("at"))
     t = grid.join(T.extents(cells, keys), list(keys)).join(spans, list(keys), "left")
-    t = t.withColumn("no", F.row_number().over(Window.partitionBy(keys[0]).orderBy(*keys[1:])))
+    n = numbered(grid.select(*keys), [keys[0]], list(keys[1:]), "no").select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "no")
+    t = t.join(n, [t[k].eqNullSafe(n[f"__k{i}"]) for i, k in enumerate(keys)])
     value = lambda r, k: F.coalesce(F.col("at")[F.struct(r.alias("row"), k.alias("col"))], F.lit(""))
     rows = F.transform(F.sequence(F.lit(1), F.col("max_row")), lambda r: F.transform(F.sequence(F.lit(1), F.col("max_col")), lambda k: one(value(r, k))))
     merges = F.transform("m", lambda x: F.array(x["row"], x["col"], x["bottom"], x["right"]))
