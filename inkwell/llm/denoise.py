@@ -16,8 +16,9 @@
 Look-alike characters are problem 2's and are put right first: they are no misreading.
 
 What every worker needs is bounded and broadcast: the lexicon (``MAX_LEXICON`` words, about 0.3 GB of index at the bound), counts
-of its words, of confusions (pairs of short strings over the alphabets), and of neighbours (``MAX_PAIRS``; in a larger
-corpus those that occur least often say nothing).
+of its words, and of confusions (pairs of short strings over the alphabets). Counts of neighbours are broadcast if there are
+``MAX_PAIRS`` at most. Beyond, they stay a table: a repair that hangs on the words beside it is left open by the scan,
+and the counts that it asks for are joined. All neighbours count either way, and the result is the same.
 
 Results for odd input:
   * null, empty and blank texts have no noise; null lines keep their position and are passed over;
@@ -32,6 +33,7 @@ Results for odd input:
 
 from __future__ import annotations
 
+import json
 import math
 import re
 import unicodedata
@@ -50,7 +52,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .unify import _mapped, lookalikes
 
-MAX_LEXICON, MAX_PAIRS = 500_000, 4_000_000
+MAX_LEXICON, MAX_PAIRS = 500_000, 500_000
 
 # Letters that stand for figures in numbers, and what breaks words.
 DIGIT_PAIRS = {"O": "0", "o": "0", "l": "1", "I": "1", "Z": "2", "S": "5", "b": "6", "B": "8", "g": "9", "q": "9"}
@@ -69,12 +71,15 @@ _LATIN = re.compile(r"[^\W\d_]")
 _LATIN_TEXT = re.compile("[A-Za-zÀ-ÿ]{2}")
 
 Op = tuple[str, str]
+#: (kind, start, end, repair, None), or what must be known of neighbours for it; the repair is then None, or holds if there is one.
+Place = tuple[str, int, int, str | None, str | None]
 
 
 @dataclass
 class Evidence:
     """What the corpus says: how often a confusion (printed, seen), and a confusion in one word, a printed character, a word, two
-    neighbours, a character outside words occur, and the share of tokens that are no word."""
+    neighbours, a character outside words occur, and the share of tokens that are no word. If ``waits``, counts of neighbours
+    are elsewhere, and ``behind`` says how often words stand before another; else it follows from ``pairs``."""
 
     ops: dict[Op, float] = field(default_factory=dict)
     within: dict[tuple[Op, str], float] = field(default_factory=dict)
@@ -83,6 +88,8 @@ class Evidence:
     pairs: dict[tuple[str, str], int] = field(default_factory=dict)
     loose: dict[str, int] = field(default_factory=dict)
     unknown: float = 0.1
+    behind: dict[str, int] = field(default_factory=dict)
+    waits: bool = False
 
 
 class Letters:
@@ -183,7 +190,7 @@ class Index:
         e = self.evidence
         self.n_words = sum(e.words.values()) + 0.5 * len(self.words)
         self.n_loose = sum(e.loose.values()) + 50.0
-        self.behind: Counter = Counter()
+        self.behind: Counter = Counter(e.behind)
         for (a, _), n in e.pairs.items():
             self.behind[a] += n
         self.log_unknown = math.log(max(1e-4, e.unknown))
@@ -213,13 +220,13 @@ class Index:
         self.cache[key] = value
         return value
 
-    def again(self, text: str, whole_cell: bool) -> list[tuple[str, int, int, str]]:
-        """``scan``, of short texts done once."""
+    def again(self, text: str, whole_cell: bool) -> list[Place]:
+        """``places``, of short texts done once."""
         if len(text) > 100:
-            return scan(self, text, whole_cell)
+            return places(self, text, whole_cell)
         key = (text, whole_cell)
         got = self.cache.get(key)
-        return got if got is not None else self._keep(key, scan(self, text, whole_cell))
+        return got if got is not None else self._keep(key, places(self, text, whole_cell))
 
     # ---- weights
 
@@ -239,13 +246,13 @@ class Index:
     def word(self, word: str) -> float:
         return math.log((self.evidence.words.get(word, 0) + 0.5) / self.n_words)
 
-    def beside(self, before: str | None, word: str, after: str | None) -> float:
+    def beside(self, before: str | None, word: str, after: str | None, pairs: dict[tuple[str, str], int]) -> float:
         """How much likelier the words beside make a word, as a log. Words the lexicon hasn't say nothing."""
         out = 0.0
         for x, y in ((before, word), (word, after)):
             if x and y and x in self.known and y in self.known:
                 p = math.exp(self.word(y))
-                out += math.log((self.evidence.pairs.get((x, y), 0) + NEIGHBOURS * p) / (self.behind.get(x, 0) + NEIGHBOURS) / p)
+                out += math.log((pairs.get((x, y), 0) + NEIGHBOURS * p) / (self.behind.get(x, 0) + NEIGHBOURS) / p)
         return out
 
     # ---- Latin tokens
@@ -286,15 +293,38 @@ class Index:
                         best[w] = odds
         return self._keep(token, tuple((s, w) for w, s in sorted(best.items(), key=lambda f: (-f[1], f[0]))))
 
-    def correct(self, token: str, before: str | None, after: str | None) -> str | None:
-        """The likeliest repair of a token between its neighbours, if it is likelier than a new word."""
-        got = self.token(token)
+    def options(self, token: str) -> tuple[tuple[float, str], ...]:
+        """(log odds against a new word, word) of what a token, or a window of text without blanks, may be misread from."""
+        return tuple((s, w) for s, a, b, w, _ in self.gap(token) if b - a == len(token)) if _JA_RUN.match(token) else self.token(token)
+
+    def correct(self, token: str, before: str | None, after: str | None, pairs: dict[tuple[str, str], int] | None = None) -> str | None:
+        """The likeliest repair of a token between its neighbours, if it is likelier than a new word. ``pairs``: counts of these
+        neighbours, if the evidence hasn't any."""
+        got = self.options(token)
         if not got:
             return None
         before, after = (before or "").lower(), (after or "").lower()
-        s, w = max(((s + self.beside(before, w, after), w) for s, w in got), key=lambda f: (f[0], [-ord(c) for c in f[1]]))
+        pairs = self.evidence.pairs if pairs is None else pairs
+        s, w = max(((s + self.beside(before, w, after, pairs), w) for s, w in got), key=lambda f: (f[0], [-ord(c) for c in f[1]]))
         return w if s > MARGIN else None
 
+    def choice(self, token: str, before: str | None, after: str | None) -> tuple[str | None, str | None]:
+        """(repair, None); or (None, what must be known for it), if that hangs on neighbours whose counts are elsewhere."""
+        if self.evidence.waits and self.options(token):
+            beside = [x if x in self.known else "" for x in ((before or "").lower(), (after or "").lower())]
+            if any(beside):
+                return None, json.dumps([token, *beside], ensure_ascii=False)
+        return self.correct(token, before, after), None
+
+    def asked(self, key: str) -> set[str]:
+        """The neighbours whose counts an open repair needs, by their keys."""
+        token, before, after = json.loads(key)
+        return {x + "\0" + y for _, w in self.options(token) for x, y in ((before, w), (w, after)) if x and y}
+
+    def answer(self, key: str, counts: dict[str, int]) -> str | None:
+        """The repair that was open, by the counts of neighbours."""
+        return self.correct(*json.loads(key), {tuple(k.split("\0")): n for k, n in counts.items()})
+
     def is_word(self, token: str) -> str | None:
         """The lexicon's word that a token is."""
         return self.heard[token]
@@ -394,14 +424,19 @@ def line_parts(text: str) -> list[str]:
 
 
 def scan(index: Index, text: str, whole_cell: bool = False) -> list[tuple[str, int, int, str]]:
-    """(kind, start, end, repair) of hyphens and misreadings in a text."""
-    out: list[tuple[str, int, int, str]] = []
+    """(kind, start, end, repair) of hyphens and misreadings in a text, by an index that has the counts of neighbours."""
+    return [f[:4] for f in places(index, text, whole_cell)]
+
+
+def places(index: Index, text: str, whole_cell: bool = False) -> list[Place]:
+    """Hyphens and misreadings in a text."""
+    out: list[Place] = []
     if not text:
         return out
     if whole_cell and len(text) >= 4 and text[:1] not in "Q" and _NUMBERISH.fullmatch(text):
         fixed = "".join(DIGIT_PAIRS.get(c, c) for c in text)
         if fixed != text and _NUMBER.fullmatch(fixed) and sum(c.isdigit() for c in text) * 2 >= sum(c.isdigit() for c in fixed):
-            return [("misread", 0, len(text), fixed)]
+            return [("misread", 0, len(text), fixed, None)]
     skip: list[tuple[int, int]] = []
     multi = "\n" in text or "\r" in text
     if multi and _BROKEN.search(text):
@@ -412,8 +447,11 @@ def scan(index: Index, text: str, whole_cell: bool = False) -> list[tuple[str, i
             own = _clean((left + "-" + right).lower())
             if own in index.known:
                 continue
-            if word in index.known or word.strip(_EDGE) in index.known or len(word) >= index.least + 2 and index.correct(word, *_beside(text, m)):
-                out.append(("hyphen", m.start(), m.end(), left + right))
+            fixed, key = word, None
+            if word not in index.known and word.strip(_EDGE) not in index.known:
+                fixed, key = index.choice(word, *_beside(text, m)) if len(word) >= index.least + 2 else (None, None)
+            if fixed or key:
+                out.append(("hyphen", m.start(), m.end(), left + right, key))
     if not text.isascii() and index.any_ja and _JA_RUN.search(text):
         out += _scan_ja(index, text, multi)
         if not re.search("[A-Za-zÀ-ÿ]{2}", text):
@@ -425,9 +463,9 @@ def scan(index: Index, text: str, whole_cell: bool = False) -> list[tuple[str, i
         if index.token(m.group()) and not any(a < m.end() and m.start() < b for a, b in skip):
             before = tokens[k - 1].group().strip(_EDGE) if k else None
             after = tokens[k + 1].group().strip(_EDGE) if k + 1 < len(tokens) else None
-            fixed = index.correct(m.group(), before, after)
-            if fixed:
-                out.append(("misread", m.start(), m.end(), fixed))
+            fixed, key = index.choice(m.group(), before, after)
+            if fixed or key:
+                out.append(("misread", m.start(), m.end(), fixed, key))
     return out
 
 
@@ -457,30 +495,31 @@ def _ja_runs(index: Index, flat: str, gaps: list) -> Iterator[tuple[int, str, st
             yield a + run.start(), run.group(), before, after
 
 
-def _scan_ja(index: Index, text: str, multi: bool) -> list[tuple[str, int, int, str]]:
+def _scan_ja(index: Index, text: str, multi: bool) -> list[Place]:
     flat, _, gaps = _ja_parts(index, text, multi)
     out, at = [], None
     for start, run, before, after in _ja_runs(index, flat, gaps):
-        spans: dict[tuple[int, int], tuple[float, str]] = {}
-        for odds, a, b, w, _ in index.gap(run):
+        for a, b in dict.fromkeys(f[1:3] for f in index.gap(run)):
             if multi and at is None:
                 at = [k for k, c in enumerate(text) if c not in "\r\n"]
             p, q = start + a, start + b
             if _cut(text, at[p] if at else p, (at[q - 1] if at else q - 1) + 1):
                 continue
-            odds += index.beside(before, w, after)
-            if odds > MARGIN and odds > spans.get((a, b), (MARGIN, ""))[0]:
-                spans[(a, b)] = (odds, w)
-        for (a, b), (_, w) in spans.items():
-            p, q = start + a, start + b
-            out.append(("misread", at[p] if at else p, (at[q - 1] if at else q - 1) + 1, w))
+            fixed, key = index.choice(run[a:b], before, after)
+            if fixed or key:
+                out.append(("misread", at[p] if at else p, (at[q - 1] if at else q - 1) + 1, fixed, key))
     return out
 
 
 def repair(index: Index, text: str, whole_cell: bool = False) -> str:
     """The text with all its noise repaired, and its lines joined to paragraphs."""
+    return mend(text, scan(index, text, whole_cell))
+
+
+def mend(text: str, found: list[tuple[str, int, int, str]]) -> str:
+    """The text with its noise, as from :func:`scan`, repaired, and its lines joined to paragraphs."""
     done = text
-    for kind, a, b, fixed in sorted(scan(index, text, whole_cell), key=lambda f: -f[1]):
+    for kind, a, b, fixed in sorted(found, key=lambda f: -f[1]):
         seen = done[a:b]
         if kind == "hyphen":  # the word stays on its line, and the lines keep about their lengths
             done = done[:a] + fixed + ("\n" if done[b : b + 1].strip("\r\n") else "") + done[b:]
@@ -604,10 +643,10 @@ def running_lines(lines: list[str | None], tops: list[int | None], page: int | N
     return out
 
 
-def scan_page(index: Index, lines: list[str | None], tops: list[int | None], page: int | None, margins: Margins) -> list[tuple[int, str, str, str]]:
-    """(position, kind, what is there, repair) of a page's noise."""
+def scan_page(index: Index, lines: list[str | None], tops: list[int | None], page: int | None, margins: Margins) -> list[tuple[int, str, str, str | None, str | None]]:
+    """(position, kind, what is there, repair, what must be known for it) of a page's noise."""
     running = running_lines(lines, tops, page, margins)
-    out = [(k, "running", lines[k], "") for k in sorted(running)]
+    out = [(k, "running", lines[k], "", None) for k in sorted(running)]
     body = [k for k, t in enumerate(lines) if t is not None and k not in running]
     for group in ([body] if body else []) + [[k] for k in sorted(running)]:
         text, starts = "", []
@@ -615,16 +654,21 @@ def scan_page(index: Index, lines: list[str | None], tops: list[int | None], pag
             starts.append(len(text))
             text += re.sub(r"[\r\n]+", " ", lines[k]) + "\n"
         place = np.array(starts)
-        for kind, a, b, fixed in scan(index, text[:-1]):
+        for kind, a, b, fixed, key in places(index, text[:-1]):
             # where a hyphen breaks a word; where the misread word begins
-            out.append((group[int(np.searchsorted(place, a, side="right")) - 1], kind, text[a:b], fixed))
+            out.append((group[int(np.searchsorted(place, a, side="right")) - 1], kind, text[a:b], fixed, key))
     return out
 
 
+def body_text(lines: list[str | None], tops: list[int | None], page: int | None, margins: Margins) -> str:
+    """The page's text without running lines."""
+    running = running_lines(lines, tops, page, margins)
+    return "\n".join(re.sub(r"[\r\n]+", " ", t) for k, t in enumerate(lines) if t is not None and k not in running)
+
+
 def repair_page(index: Index, lines: list[str | None], tops: list[int | None], page: int | None, margins: Margins) -> str:
     """The page's text without running lines, repaired, in paragraphs."""
-    running = running_lines(lines, tops, page, margins)
-    return repair(index, "\n".join(re.sub(r"[\r\n]+", " ", t) for k, t in enumerate(lines) if t is not None and k not in running))
+    return repair(index, body_text(lines, tops, page, margins))
 
 
 def page_lines(pages: DataFrame) -> DataFrame:
@@ -709,7 +753,12 @@ def shares(sets: dict[str, int], rounds: int = 20) -> tuple[dict[Op, float], dic
 
 
 def learned(texts: DataFrame, words: list[str]) -> Evidence:
-    """What all of ``texts`` (a column of strings) say about the words of a lexicon."""
+    """What all of ``texts`` (a column of strings) say about the words of a lexicon, all neighbours among it."""
+    return _evidence(_tallied(texts, words), True)
+
+
+def _tallied(texts: DataFrame, words: list[str]) -> DataFrame:
+    """(what, key, n): :func:`tally` of all of ``texts``."""
     shared = _share(texts, words, None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -727,19 +776,16 @@ def learned(texts: DataFrame, words: list[str]) -> Evidence:
                 total.clear()
         yield flush()
 
-    counts = materialize(texts.mapInArrow(run, "what string, key string, n bigint").groupBy("what", "key").agg(F.sum("n").alias("n")), "tally")
-    # neighbours that are worth a place: those that occur most
-    pairs = counts.where("what = 'p'")
-    least = 1
-    if pairs.count() > MAX_PAIRS:
-        by, room = pairs.groupBy(F.least("n", F.lit(10_000)).alias("m")).count().collect(), MAX_PAIRS
-        for r in sorted(by, key=lambda r: -r.m):
-            room -= r["count"]
-            if room < 0:
-                break
-            least = r.m
+    return materialize(texts.mapInArrow(run, "what string, key string, n bigint").groupBy("what", "key").agg(F.sum("n").alias("n")), "tally")
+
+
+def _evidence(counts: DataFrame, with_pairs: bool) -> Evidence:
+    """What the counts say; without those of neighbours, how often words stand before another."""
+    if not with_pairs:
+        behind = counts.where("what = 'p'").groupBy(F.lit("b").alias("what"), F.substring_index("key", "\0", 1).alias("key")).agg(F.sum("n").alias("n"))
+        counts = counts.where("what <> 'p'").unionByName(behind)
     got: dict[str, dict[str, int]] = defaultdict(dict)
-    for r in counts.where(F.col("what") != "p").unionByName(pairs.where(F.col("n") >= least)).toLocalIterator():
+    for r in counts.toLocalIterator():
         got[r.what][r.key] = r.n
     printed: Counter = Counter()
     for w, n in got["w"].items():
@@ -747,7 +793,8 @@ def learned(texts: DataFrame, words: list[str]) -> Evidence:
             printed[c] += n
     latin = sum(n for w, n in got["w"].items() if not _JA_RUN.search(w))
     unknown = sum(got["u"].values())
-    return Evidence(*shares(got["o"]), dict(printed), got["w"], {tuple(k.split("\0")): n for k, n in got["p"].items()}, got["l"], (unknown + 1) / (unknown + latin + 10))
+    pairs = {tuple(k.split("\0")): n for k, n in got["p"].items()}
+    return Evidence(*shares(got["o"]), dict(printed), got["w"], pairs, got["l"], (unknown + 1) / (unknown + latin + 10), got["b"], not with_pairs)
 
 
 class _Shared:
@@ -773,21 +820,45 @@ def _index(shared: Broadcast) -> Index:
     return s.made
 
 
-def _learn(pages: DataFrame, texts: DataFrame, lexicon: DataFrame, margins: Margins | None) -> tuple[Broadcast, Margins]:
+def _learn(pages: DataFrame, texts: DataFrame, lexicon: DataFrame, margins: Margins | None) -> tuple[Broadcast, Margins, DataFrame | None]:
+    """What is broadcast, the margins, and the counts of neighbours if they are too many for that: (pair, n)."""
     words = lexicon_words(lexicon)
     every = pages.select(F.array_join("lines", "\n").alias("t")).unionByName(texts.select(F.col("text").alias("t")))
-    return _share(pages, words, learned(every.where("t is not null and t <> ''"), words)), margins or learned_margins(pages)
+    counts = _tallied(every.where("t is not null and t <> ''"), words)
+    pairs = counts.where("what = 'p'").select(F.col("key").alias("pair"), "n")
+    few = pairs.count() <= MAX_PAIRS
+    return _share(pages, words, _evidence(counts, few)), margins or learned_margins(pages), None if few else pairs
+
+
+def _answered(keys: DataFrame, shared: Broadcast, pairs: DataFrame) -> DataFrame:
+    """(key, word) of the open repairs (a column of keys) that hold."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _index(shared)
+        for b in batches:
+            rows = [(k, x) for k in b.column(0).to_pylist() for x in sorted(index.asked(k))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(2)], names=["key", "pair"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _index(shared)
+        for b in batches:
+            keys = b.column(0).to_pylist()
+            words = [index.answer(k, {f["pair"]: f["n"] for f in found if f["n"] is not None}) for k, found in zip(keys, b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.string())], names=["key", "word"])
+
+    asked = keys.distinct().mapInArrow(ask, "key string, pair string").join(pairs, "pair", "left")
+    return asked.groupBy("key").agg(F.collect_list(F.struct("pair", "n")).alias("found")).mapInArrow(answer, "key string, word string").where("word is not null")
 
 
 def noise(pages: DataFrame, texts: DataFrame, lexicon: DataFrame, margins: Margins | None = None) -> DataFrame:
     """(src, row_id, pos, kind, found, repair). ``texts``: (src, row_id, text, whole_cell); ``pages``: as from :func:`page_lines`."""
-    shared, where = _learn(pages, texts, lexicon, margins)
+    shared, where, pairs = _learn(pages, texts, lexicon, margins)
 
     def on_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _index(shared)
         for b in batches:
             src, row, text, cell = (b.column(k).to_pylist() for k in range(4))
-            yield _rows([(s, r, 0, kind, t[x:y], fixed) for s, r, t, c in zip(src, row, text, cell) for kind, x, y, fixed in index.again(t, c)])
+            yield _rows([(s, r, 0, kind, t[x:y], fixed, key) for s, r, t, c in zip(src, row, text, cell) for kind, x, y, fixed, key in index.again(t, c)])
 
     def on_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _index(shared)
@@ -795,35 +866,68 @@ def noise(pages: DataFrame, texts: DataFrame, lexicon: DataFrame, margins: Margi
             row, page, lines, tops = (b.column(k).to_pylist() for k in range(4))
             yield _rows([("layout_json", r, *f) for r, p, t, y in zip(row, page, lines, tops) for f in scan_page(index, t, y, p, where)])
 
-    ddl = "src string, row_id bigint, pos int, kind string, found string, repair string"
+    ddl = "src string, row_id bigint, pos int, kind string, found string, repair string, key string"
     found = pages.select("row_id", "page", "lines", "tops").mapInArrow(on_pages, ddl)
     plain = texts.where("text is not null and text <> ''").select("src", "row_id", "text", "whole_cell").mapInArrow(on_texts, ddl)
-    return found.unionByName(plain)
+    every = found.unionByName(plain)
+    if pairs is None:
+        return every.drop("key")
+    every = materialize(every, "places")
+    held = every.where("key is not null").join(_answered(every.where("key is not null").select("key"), shared, pairs), "key")
+    return every.where("key is null").drop("key").unionByName(held.withColumn("repair", F.coalesce("repair", "word")).drop("key", "word"))
 
 
 def readable(pages: DataFrame, texts: DataFrame, lexicon: DataFrame, margins: Margins | None = None) -> DataFrame:
     """(src, row_id, text) of all pages and texts, without noise. Null texts stay null, pages without lines are empty."""
-    shared, where = _learn(pages, texts, lexicon, margins)
+    shared, where, pairs = _learn(pages, texts, lexicon, margins)
 
-    def on_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def mended(src: list, row: list, text: list, cell: list) -> pa.RecordBatch:
+        """Texts that are settled, mended; others as they are, with what was found in them."""
         index = _index(shared)
+        found = [index.again(t, c) if t else () for t, c in zip(text, cell)]
+        noted: list = [None] * len(text)
+        for k, fs in enumerate(found):
+            if any(f[4] for f in fs):
+                noted[k] = [dict(zip(("kind", "start", "end", "repair", "key"), f)) for f in fs]
+            elif fs or text[k] and ("\n" in text[k] or "\r" in text[k]):  # one line without noise stays as it is
+                text[k] = mend(text[k], [f[:4] for f in fs])
+        return pa.RecordBatch.from_arrays([pa.array(src, pa.string()), pa.array(row, pa.int64()), pa.array(text, pa.string()), pa.array(noted, _FOUND)], names=["src", "row_id", "text", "found"])
+
+    def on_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fixed = [t if not t else repair(index, t, c) for t, c in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fixed, pa.string())], names=["src", "row_id", "text"])
+            yield mended(*(b.column(k).to_pylist() for k in range(4)))
 
     def on_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _index(shared)
         for b in batches:
             row, page, lines, tops = (b.column(k).to_pylist() for k in range(4))
-            fixed = [repair_page(index, t, y, p, where) for p, t, y in zip(page, lines, tops)]
-            yield pa.RecordBatch.from_arrays([pa.array(["layout_json"] * len(row)), pa.array(row, pa.int64()), pa.array(fixed, pa.string())], names=["src", "row_id", "text"])
+            yield mended(["layout_json"] * len(row), row, [body_text(t, y, p, where) for p, t, y in zip(page, lines, tops)], [False] * len(row))
 
-    ddl = "src string, row_id bigint, text string"
-    found = pages.select("row_id", "page", "lines", "tops").mapInArrow(on_pages, ddl)
-    return found.unionByName(texts.select("src", "row_id", "text", "whole_cell").mapInArrow(on_texts, ddl))
+    ddl = "src string, row_id bigint, text string, found array<struct<kind: string, start: int, end: int, repair: string, key: string>>"
+    every = pages.select("row_id", "page", "lines", "tops").mapInArrow(on_pages, ddl).unionByName(texts.select("src", "row_id", "text", "whole_cell").mapInArrow(on_texts, ddl))
+    if pairs is None:
+        return every.drop("found")
+
+    def on_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            src, row, text, found, words = (b.column(k).to_pylist() for k in range(5))
+            done = []
+            for t, fs, ws in zip(text, found, words):
+                got = {w["key"]: w["word"] for w in ws or ()}
+                done.append(mend(t, [(f["kind"], f["start"], f["end"], f["repair"] or got[f["key"]]) for f in fs if f["key"] is None or f["key"] in got]))
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.string()), pa.array(row, pa.int64()), pa.array(done, pa.string())], names=["src", "row_id", "text"])
+
+    # what is open in a text follows from the text, so equal texts are asked for once
+    every = materialize(every.withColumn("text_md5", F.when(F.col("found").isNotNull(), F.md5("text"))), "places")
+    wanted = every.where("found is not null").select("text_md5", F.explode("found.key").alias("key")).where("key is not null").distinct()
+    words = wanted.join(_answered(wanted.select("key"), shared, pairs), "key").groupBy("text_md5").agg(F.collect_list(F.struct("key", "word")).alias("words"))
+    opened = every.where("found is not null").join(words, "text_md5", "left").select("src", "row_id", "text", "found", "words")
+    return every.where("found is null").select("src", "row_id", "text").unionByName(opened.mapInArrow(on_open, "src string, row_id bigint, text string"))
+
+
+_FOUND = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("repair", pa.string()), ("key", pa.string())]))
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows)) or [()] * 6
-    types = (pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["src", "row_id", "pos", "kind", "found", "repair"])
+    cols = list(zip(*rows)) or [()] * 7
+    types = (pa.string(), pa.int64(), pa.int32(), *[pa.string()] * 4)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["src", "row_id", "pos", "kind", "found", "repair", "key"])

@@ -187,6 +187,31 @@ def test_counts(spark):
     assert d.learned(df.limit(0), WORDS).words == {}
 
 
+def test_all_neighbours_count_however_many(spark, monkeypatch):
+    """Counts of neighbours too many for a broadcast are joined, and give what a broadcast gives: repairs that only the words
+    beside them tell, of texts, pages, Japanese, words at line ends, and tokens with marks that part nothing."""
+    det = "array<struct<content:string,points:array<array<int>>,box:array<int>>>"
+    page = [("one l@ne", None, [0, 400, 1, 1]), ("goes the", None, [0, 500, 1, 1]), None, ("l@ne ends", None, [0, 600, 1, 1])]
+    pages = d.page_lines(spark.createDataFrame([(1, "a", 9, page), (2, "a", 1, None), (3, "a", 2, [])], f"layout_id bigint, doc_id string, page int, detections {det}"))
+    said = ["the lane ends"] * 50 + ["one line goes"] * 50 + ["each queue"] * 200 + ["待ち行列の関係"] * 30 + ["each buffer and"] * 3
+    odd = ["the l@ne ends", "one l@ne goes", "one l@ne goes", "l@ne", "each qucue", "待ち行烈の関係", "関係待ち行烈", "each buf-\nfcr and", "l@\0ne ends", "", None, "x l@ne"]
+    texts = spark.createDataFrame([("regions", k, t, k % 2 == 0) for k, t in enumerate(odd + said)], "src string, row_id bigint, text string, whole_cell boolean")
+    lex = spark.createDataFrame([(w,) for w in [*WORDS, *"line lane the one ends goes and".split()]], "word string")
+
+    def results():
+        return sorted(map(tuple, d.noise(pages, texts, lex).collect())), sorted(map(tuple, d.readable(pages, texts, lex).collect()), key=str)
+
+    few = results()
+    fixed = {(r[0], r[1], r[2]): r[5] for r in few[0]}
+    assert fixed["regions", 0, 0] == "lane" and fixed["regions", 1, 0] == fixed["regions", 2, 0] == "line"
+    assert fixed["layout_json", 1, 0] == "line" and fixed["layout_json", 1, 3] == "lane" and ("regions", 7, 0) in fixed
+    for most in (1, 5, 0):
+        monkeypatch.setattr(d, "MAX_PAIRS", most)
+        assert results() == few
+    df = spark.createDataFrame([("each queue each queue",), ("queue buffer buffcr",)], "t string")
+    assert d.learned(df, WORDS).pairs == {("each", "queue"): 2, ("queue", "each"): 1, ("queue", "buffer"): 1}
+
+
 def test_margins_are_learned(spark):
     det = "array<struct<content:string,points:array<array<int>>,box:array<int>>>"
     rows = []
